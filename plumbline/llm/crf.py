@@ -202,3 +202,18 @@ def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
         "n_lines",
         "bad_lines",
     )
+
+
+def keep_good(docs: DataFrame, field: Field, size: int = 256) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores THRESHOLD or more."""
+    weights = (field.weights, field.link, field.slope, field.bias)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = Field(*weights)
+        for texts in batches:
+            all_ = texts.tolist()
+            parts = [f.score(all_[k : k + size]) for k in range(0, len(all_), size)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(score(F.col("text").cast("string")) >= THRESHOLD)
