@@ -90,7 +90,7 @@ class Compiler:
         if counted:
             found.append(self._finish(shape, self._counted(counted, shape, foci, vals, siblings)))
         for c in rest:
-            fn = OTHERS.get(c.name) or COMPONENTS.get(c.component)
+            fn = COMPONENTS.get(c.component) or (_sparql if c.params.get("custom") else OTHERS.get(c.name))
             if fn is None:
                 raise ValueError(f"no evaluator for {c.component}")
             out = fn(self, shape, c, foci, vals)

@@ -6,7 +6,7 @@ import logging
 from collections import defaultdict
 
 from ..functions.values import local_name
-from ..terms import RDF, RDFS, SH, Term, iri
+from ..terms import OWL, RDF, RDFS, SH, Term, iri
 from .ir import VIOLATION, Alternative, Closure, Constraint, Inverse, Path, Predicate, Sequence, Shape, Target
 from .mode import STRICT, Mode
 
@@ -124,7 +124,7 @@ class ShapesGraph:
     def targets(self, node: Term) -> tuple[Target, ...]:
         out = []
         types = self.all(node, RDF + "type")
-        classes = {iri(RDFS + "Class"), iri("http://www.w3.org/2002/07/owl#Class")}
+        classes = {iri(RDFS + "Class"), iri(OWL + "Class")}
         if node.kind == "iri" and any(classes & self.superclasses(t) for t in types):
             out.append(Target("implicit", node))
         for p, kind in (("targetClass", "class"), ("targetNode", "node"), ("targetSubjectsOf", "subjects"), ("targetObjectsOf", "objects"), ("target", "advanced")):
@@ -244,12 +244,18 @@ class ShapesGraph:
         return out
 
     def prefixes(self, t: Term) -> dict[str, str]:
-        out = {}
-        for x in self.all(t, SH + "prefixes"):
+        """Declared prefixes, those of imported ontologies included."""
+        out, todo, seen = {}, self.all(t, SH + "prefixes")[:], set()
+        while todo:
+            x = todo.pop()
+            if x in seen:
+                continue
+            seen.add(x)
+            todo += self.all(x, OWL + "imports")
             for d in self.all(x, SH + "declare"):
                 p, n = self.text(d, SH + "prefix"), self.one(d, SH + "namespace")
                 if p is not None and n is not None:
-                    out[p] = n.lex
+                    out.setdefault(p, n.lex)
         return out
 
     def components(self) -> list[dict]:

@@ -406,3 +406,84 @@ add(
     closed_triples,
     f"SELECT predicate, n FROM ({PREDICATES}) WHERE n > 0 UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM events)",
 )
+
+
+# SPARQL -----------------------------------------------------------------------------------------------------------
+DECLARE = f'ex:P sh:declare [ sh:prefix "ex" ; sh:namespace "{EX}" ] . '
+add(
+    "sparql_select",
+    focus_only(
+        run(
+            "orders customer",
+            DECLARE
+            + shape
+            + 'sh:targetClass ex:Order ; sh:sparql [ sh:prefixes ex:P ; sh:message "order of {?value}" ; sh:select """'
+            + "SELECT $this ?value WHERE { $this ex:customer ?value ; ex:totalprice ?t . ?value ex:acctbal ?b . FILTER(?t > 450000 && ?b < 0) }"
+            + '""" ] .',
+        )
+    ),
+    focus_sql("orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000 AND c_acctbal < 0", n("order", "o_orderkey"), "SPARQL"),
+)
+add(
+    "sparql_ask_component",
+    lambda spark, d: (
+        run(
+            "orders customer",
+            DECLARE
+            + """ex:CConstraintComponent a sh:ConstraintComponent ; sh:parameter [ sh:path ex:least ] ;
+  sh:nodeValidator [ a sh:SPARQLAskValidator ; sh:prefixes ex:P ; sh:ask \"\"\"ASK { ?o ex:customer $this ; ex:totalprice ?t . FILTER(?t > $least) }\"\"\" ] .
+ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; ex:least 300000 .""",
+        )(spark, d).select("focus")
+    ),
+    f"SELECT {n('customer', 'c_custkey')} AS focus FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+)
+
+
+def asked(tables: str, text: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose solutions are returned as texts of literals or IRIs."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .graph import Dataset
+        from .sparql.evaluate import run_query
+
+        out = run_query(Dataset(mapped(spark, sf_dir, *tables.split())), text, {"ex": EX, "xsd": XSD})
+        return out.select(*(F.col(x)["lex"].alias(x) for x in names))
+
+    return query
+
+
+add(
+    "sparql_group_having",
+    asked(
+        "orders customer",
+        "SELECT ?seg (COUNT(?o) AS ?n) (MAX(?d) AS ?last) WHERE { ?o ex:customer ?c ; ex:orderdate ?d . ?c ex:segment ?seg } GROUP BY ?seg HAVING (COUNT(?o) > 10)",
+        "seg", "n",
+    ),
+    "SELECT c_mktsegment AS seg, CAST(count(*) AS VARCHAR) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 10",
+)
+add(
+    "sparql_optional_union",
+    asked(
+        "orders customer",
+        """SELECT ?c ?o WHERE { { ?c ex:segment "BUILDING" } UNION { ?c ex:segment "MACHINERY" }
+           OPTIONAL { ?o ex:customer ?c ; ex:totalprice ?t FILTER(?t > 400000) } FILTER NOT EXISTS { ?c ex:nation <http://example.org/nation/3> } }""",
+        "c", "o",
+    ),
+    f"""SELECT concat('{EX}customer/', c_custkey) AS c, CASE WHEN o_orderkey IS NULL THEN NULL ELSE concat('{EX}order/', o_orderkey) END AS o
+        FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON o_custkey = c_custkey
+        WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey <> 3""",
+)
+add(
+    "sparql_order_limit",
+    asked("orders", "SELECT ?o WHERE { ?o ex:totalprice ?t } ORDER BY DESC(?t) ?o LIMIT 10 OFFSET 5", "o"),
+    f"SELECT concat('{EX}order/', o_orderkey) AS o FROM orders ORDER BY o_totalprice DESC, concat('{EX}order/', o_orderkey) LIMIT 10 OFFSET 5",
+)
+add(
+    "sparql_path_bind",
+    asked(
+        "orders customer nation",
+        "SELECT DISTINCT ?r ?k WHERE { ?o ex:status \"F\" ; ex:customer/ex:nation/ex:region ?r . BIND(STRAFTER(STR(?r), \"region/\") AS ?k) VALUES ?k { \"1\" \"2\" } }",
+        "r", "k",
+    ),
+    f"SELECT DISTINCT concat('{EX}region/', n_regionkey) AS r, CAST(n_regionkey AS VARCHAR) AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND n_regionkey IN (1, 2)",
+)

@@ -1,0 +1 @@
+"""A SPARQL subset compiled to DataFrames."""
