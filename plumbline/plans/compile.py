@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..graph import SUBCLASS, Dataset
 from ..operators import paths
+from ..operators.fixpoint import cut
 from ..operators.targets import Targets
 from ..terms import TERM, in_terms, is_term, same
 from .ir import Constraint, Shape
@@ -45,7 +46,7 @@ class Compiler:
         self.dataset, self.graph, self.mode = dataset, dataset.data, mode
         self.spark = self.graph.spark
         self.targets = Targets(self.graph, mode.literal_objects)
-        self._number = count()
+        self._number, self._depth = count(), 0
         self._below: dict[tuple[str, str], list[str]] = {}
 
     # shapes ---------------------------------------------------------------------------------------------------
@@ -60,12 +61,22 @@ class Compiler:
     def none(self) -> DataFrame:
         return self.spark.createDataFrame([], RESULT)
 
-    def failing(self, shape: Shape, nodes: DataFrame) -> DataFrame:
-        """(value): the distinct nodes of ``nodes`` (value) that don't conform to ``shape``."""
+    def failing(self, shape: Shape, nodes: DataFrame, narrowed: bool = False) -> DataFrame:
+        """(value): the distinct nodes of ``nodes`` (value) that don't conform to ``shape``.
+
+        ``narrowed`` tells that ``nodes`` is itself the outcome of other shapes.
+        """
         if shape.deactivated and self.mode.deactivated_everywhere:
             return nodes.where("false")
-        foci = nodes.select(F.col("value").alias("root"), F.col("value").alias("focus"))
-        return self.results(shape, foci).select(F.col("root").alias("value")).distinct()
+        self._depth += 1
+        try:
+            if self._depth > 1 or narrowed:
+                # each constraint inside reads the nodes again; without a cut, plans would grow with the power of the depth
+                nodes = cut(nodes)
+            foci = nodes.select(F.col("value").alias("root"), F.col("value").alias("focus"))
+            return self.results(shape, foci).select(F.col("root").alias("value")).distinct()
+        finally:
+            self._depth -= 1
 
     def values(self, shape: Shape, foci: DataFrame) -> DataFrame:
         """(root, focus, value): the focus itself for a node shape, the path's distinct values for a property shape."""
@@ -392,8 +403,8 @@ def _and(k, shape, c, foci, vals):
 def _or(k, shape, c, foci, vals):
     """Successive narrowing: a shape is asked only about values that failed all shapes before it."""
     nodes = vals.select("value").distinct()
-    for s in c.params["or"]:
-        nodes = k.failing(s, nodes)
+    for i, s in enumerate(c.params["or"]):
+        nodes = k.failing(s, nodes, narrowed=i > 1)
     n = nodes.select(F.col("value").alias("_v"))
     return _traced(vals.join(n, same(F.col("value"), F.col("_v")), "left_semi"), "sh:or validation", "conforms to none of the shapes")
 

@@ -33,7 +33,10 @@ class _Reader:
         if vocab and x in ctx:
             d = ctx[x]
             d = d.get("@id", x) if isinstance(d, dict) else d
-            return d if d is None or d == x or d.startswith("@") else self.expand(d, ctx, True)
+            if d is None or d.startswith("@"):
+                return d
+            if d != x:
+                return self.expand(d, ctx, True)
         head, sep, rest = x.partition(":")
         if sep and not rest.startswith("//") and head in ctx:
             d = ctx[head]

@@ -15,19 +15,36 @@ from .parser import QueryError
 BOOLEAN, INTEGER, DECIMAL, DOUBLE, STRING = (XSD + x for x in ("boolean", "integer", "decimal", "double", "string"))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, so that nested expressions don't multiply."""
+    return F.transform(F.array(c), f)[0]
+
+
 def boolean(c: Column) -> Column:
-    return F.when(c.isNotNull(), make("literal", F.when(c, "true").otherwise("false"), F.lit(BOOLEAN)))
+    return let(c, _boolean)
 
 
 def number(c: Column, dt: Column | str = DOUBLE) -> Column:
+    return let(c, lambda x: _number(x, dt))
+
+
+def text(c: Column, like: Column | None = None) -> Column:
+    """A string; with ``like`` it keeps that literal's language."""
+    return let(c, lambda x: _text(x, like))
+
+
+def _boolean(c: Column) -> Column:
+    return F.when(c.isNotNull(), make("literal", F.when(c, "true").otherwise("false"), F.lit(BOOLEAN)))
+
+
+def _number(c: Column, dt: Column | str) -> Column:
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
     text = F.when(whole, F.floor(c).cast("string")).otherwise(c.cast("string"))
     kind = F.when(whole, F.lit(INTEGER)).otherwise(F.lit(DOUBLE)) if dt == DOUBLE else F.lit(dt)
     return F.when(c.isNotNull(), make("literal", text, kind, None, c.cast("double")))
 
 
-def text(c: Column, like: Column | None = None) -> Column:
-    """A string; with ``like`` it keeps that literal's language."""
+def _text(c: Column, like: Column | None) -> Column:
     lang = F.lit("") if like is None else like["lang"]
     dt = F.when(lang != "", F.lit(RDF + "langString")).otherwise(F.lit(STRING))
     return F.when(c.isNotNull(), make("literal", c, dt, lang, number_of(c)))
@@ -49,9 +66,7 @@ class Expressions:
         if e.name in TESTS or e.name in ("&&", "||", "!", "=", "!=", "<", ">", "<=", ">=", "in", "not in", "bound"):
             return boolean(self.test(e))
         if e.name in ("+", "-", "*", "/"):
-            a, b = (self.num(x) for x in e.args)
-            out = {"+": a + b, "-": a - b, "*": a * b}.get(e.name)
-            return number(F.when(b != 0, a / F.when(b != 0, b)) if out is None else out)
+            return number(self.num(e))
         if e.name == "coalesce":
             return F.coalesce(*(self.term(x) for x in e.args))
         if e.name == "if":
@@ -77,6 +92,10 @@ class Expressions:
 
     def num(self, e) -> Column:
         """The number of a numeric literal, else null."""
+        if isinstance(e, Call) and e.name in ("+", "-", "*", "/"):
+            a, b = (self.num(x) for x in e.args)
+            plain = {"+": a + b, "-": a - b, "*": a * b}.get(e.name)
+            return let(b, lambda d: F.when(d != 0, a / F.when(d != 0, d))) if plain is None else plain
         t = self.term(e)
         return F.when(t["dt"].isin(*V.NUMERIC_TYPES), t["num"])
 
