@@ -2,9 +2,10 @@
 
 A gram is the least run of lines, from a given line on, with ``GRAM`` words. Of each ``WINDOW`` neighbouring grams the
 least hash is a fingerprint, and so is each line that is a gram by itself; hence every repeated run of 2 * GRAM words
-or more holds one. A fingerprint's first place in the corpus, by (doc_id, copy, line), is joined to its later places;
-along each such alignment the equal lines are extended both ways, and the later run is deleted if it has GRAM words
-or more. A deleted line thus equals an earlier one, and the first occurrence of a line always stays.
+or more holds one. A fingerprint's first place in the corpus, by (doc_id, copy, line), is joined to its later places.
+A later place is deleted with the equal lines before and after it, up to the neighbouring later places of its text,
+which have matches of their own; so a text is compared in proportion to its length, however often its lines repeat.
+A deleted line equals an earlier one, and the first occurrence of a line always stays.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def line_tables(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(doc_id, copy, line, gram): the chosen grams and the places, among lines with words, at which they begin."""
+    """(doc_id, copy, line, size, gram): the chosen grams, where they begin among lines with words, and their lines."""
     n = F.size("words")
     # how many lines from line i on have GRAM words; 0 if the text ends before
     reach = lambda i: F.aggregate(
@@ -61,7 +62,9 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), least)
     alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("reach", i) == 1)
     chosen = grams.withColumn("line", F.explode(F.array_distinct(F.concat(windows, alone))))
-    return chosen.select("doc_id", "copy", "line", F.get("gram", F.col("line")).alias("gram")).where("gram is not null")
+    return chosen.select(
+        "doc_id", "copy", "line", F.get("reach", F.col("line")).alias("size"), F.get("gram", F.col("line")).alias("gram")
+    ).where("gram is not null")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -71,22 +74,44 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy", "line")
     first = marks.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = marks.join(first.select("gram", "first"), "gram").where(place > F.col("first"))
-    shift = (F.col("line") - F.col("first.line")).alias("shift")
-    pairs = later.select("doc_id", "copy", F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("_copy"), shift).distinct()
-    own = lines.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "at", "words", "hash")
-    both = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))).drop("d", "c")
+    seeds = later.select(
+        "doc_id", "copy", "line", (F.col("line") + F.col("size")).alias("end"), F.col("first.doc_id").alias("_id"),
+        F.col("first.copy").alias("_copy"), (F.col("line") - F.col("first.line")).alias("shift"),
+    )
+    # how far a seed may grow: to the seeds before and after it in its text
+    order = Window.partitionBy("doc_id", "copy").orderBy("line")
+    floor = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeds = seeds.withColumn("floor", F.least(floor, F.col("line"))).withColumn("next", F.lead("line").over(order))
+    pairs = seeds.groupBy("doc_id", "copy", "_id", "_copy").agg(F.collect_list(F.struct("line", "end", "shift", "floor", "next")).alias("seeds"))
     other = lines.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("hash").alias("other"))
-    both = both.join(other, F.col("_id").eqNullSafe(F.col("d")) & (F.col("_copy") == F.col("c"))).drop("d", "c")
-    equal = F.filter(
-        F.transform("hash", lambda h, i: F.struct(i.alias("line"), F.coalesce(F.get("other", i - F.col("shift")) == h, F.lit(False)).alias("same"))),
-        lambda x: x["same"],
-    )
-    rows = both.withColumn("line", F.explode(F.transform(equal, lambda x: x["line"])))
-    rows = rows.select("doc_id", "copy", "_id", "_copy", "shift", "line", F.get("at", F.col("line")).alias("at"), F.get("words", F.col("line")).alias("words"))
-    along = Window.partitionBy("doc_id", "copy", "_id", "_copy", "shift").orderBy("line")
-    runs = rows.withColumn("run", F.col("line") - F.row_number().over(along)).groupBy("doc_id", "copy", "_id", "_copy", "shift", "run")
-    found = runs.agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("words").alias("words")).where(F.col("words") >= GRAM)
-    return found.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    both = pairs.join(other, F.col("_id").eqNullSafe(F.col("d")) & (F.col("_copy") == F.col("c"))).drop("d", "c", "_id", "_copy")
+    own = lines.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "at", "hash")
+    both = both.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))).drop("d", "c")
+
+    def common(mine: Column, theirs: Column) -> Column:
+        """How many of the first elements are equal."""
+        size = F.least(F.size(mine), F.size(theirs))
+        first = F.array_position(F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+        return F.when(first > 0, (first - 1).cast("int")).otherwise(size)
+
+    def run(x: Column) -> Column:
+        shift, n = x["shift"], F.size("hash")
+        before = F.least(x["line"] - x["floor"], x["line"] - shift)
+        after = F.coalesce(x["next"], n) - x["end"]
+        back = F.when(
+            before > 0,
+            common(
+                F.reverse(F.slice("hash", x["line"] - before + 1, before)),
+                F.reverse(F.slice("other", x["line"] - shift - before + 1, before)),
+            ),
+        ).otherwise(0)
+        on = F.when(
+            after > 0, common(F.slice("hash", x["end"] + 1, after), F.slice("other", x["end"] - shift + 1, after))
+        ).otherwise(0)
+        return F.struct(F.get("at", x["line"] - back).alias("lo"), F.get("at", x["end"] + on - 1).alias("hi"))
+
+    found = both.select("doc_id", "copy", F.transform("seeds", run).alias("runs"))
+    return found.groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -99,9 +124,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = docs.withColumn("_own", F.xxhash64("text"))
     same = own["doc_id"].cast("long").eqNullSafe(runs["_id"]) & (own["_own"] == runs["_copy"])
     both = own.join(runs, same, "left")
-    inside = lambda i: F.exists("_runs", lambda r: (i >= r["lo"]) & (i <= r["hi"]))
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda _, i: ~inside(i))
+    gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["lo"], r["hi"]))))
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.transform(F.array_except(at, gone), lambda i: F.get(lines, i))
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("_runs").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
     out = both.withColumn("_removed", removed.cast("int"))
