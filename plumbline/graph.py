@@ -6,10 +6,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .terms import RDF, RDFS, TERM, XSD, Term, iri_column, literal_column, make
+from .terms import PARTS, RDF, RDFS, TERM, XSD, Term, iri_column, literal_column, make
 
 TYPE, SUBCLASS, SUBPROPERTY = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf"
 SHAPES_GRAPH = "urn:plumbline:shapes-graph"
@@ -17,6 +18,19 @@ TRIPLE_SCHEMA = f"s {TERM}, p string, o {TERM}"
 
 Triple = tuple[Term, str, Term]
 
+_TERM = pa.struct([*((k, pa.string()) for k in PARTS), ("num", pa.float64())])
+_KINDS = {"term": _TERM, "string": pa.string()}
+
+
+def local_frame(spark: SparkSession, rows: Iterable[tuple], **columns: str) -> DataFrame:
+    """A small DataFrame of ``term`` and ``string`` columns as a local relation, whose size the optimizer knows."""
+    part = lambda t: None if t is None else {"kind": t.kind, "lex": t.lex, "dt": t.dt, "lang": t.lang, "num": t.num}
+    rows = list(rows)
+    arrays = [
+        pa.array([part(r[i]) if kind == "term" else r[i] for r in rows], _KINDS[kind]) for i, kind in enumerate(columns.values())
+    ]
+    return spark.createDataFrame(pa.table(dict(zip(columns, arrays, strict=True))))
+
 
 class Graph:
     """What shapes need of a graph: the pairs of a predicate, and all triples."""
@@ -70,9 +84,7 @@ class TripleGraph(Graph):
     @classmethod
     def of(cls, spark: SparkSession, triples: Iterable[Triple]) -> TripleGraph:
         """A graph of Python triples, such as a parsed shapes graph or a test's data."""
-        part = lambda t: (t.kind, t.lex, t.dt, t.lang, t.num)
-        rows = [(part(s), p, part(o)) for s, p, o in dict.fromkeys(triples)]
-        return cls(spark.createDataFrame(rows, TRIPLE_SCHEMA), distinct=True)
+        return cls(local_frame(spark, dict.fromkeys(triples), s="term", p="string", o="term"), distinct=True)
 
     def pred(self, p: str) -> DataFrame:
         return self._frame.where(F.col("p") == p).select("s", "o")
@@ -154,7 +166,7 @@ class MappedGraph(Graph):
                 continue
             found.append(rows if m.unique else rows.distinct())
         if not found:
-            return self.spark.createDataFrame([], f"s {TERM}, o {TERM}")
+            return local_frame(self.spark, [], s="term", o="term")
         return reduce(DataFrame.unionByName, found)
 
     def instances(self, classes: Iterable[str]) -> DataFrame:
@@ -169,7 +181,7 @@ class MappedGraph(Graph):
         if extra:
             found.append(TripleGraph.of(self.spark, extra).pred(TYPE).select("s"))
         if not found:
-            return self.spark.createDataFrame([], f"s {TERM}")
+            return local_frame(self.spark, [], s="term")
         out = reduce(DataFrame.unionByName, found)
         return out if len(found) == 1 else out.distinct()
 

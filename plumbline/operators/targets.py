@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import SUBCLASS, SUBPROPERTY, Graph
+from ..graph import SUBCLASS, SUBPROPERTY, Graph, local_frame
 from ..plans.ir import Target
-from ..terms import TERM
-
 
 def constants(graph: Graph, terms) -> DataFrame:
-    rows = [((t.kind, t.lex, t.dt, t.lang, t.num),) for t in dict.fromkeys(terms)]
-    return graph.spark.createDataFrame(rows, f"focus {TERM}")
+    """A constant set of nodes."""
+    return local_frame(graph.spark, ((t,) for t in dict.fromkeys(terms)), focus="term")
 
 
 def resolve_target(target: Target, graph: Graph, literals: bool = False) -> DataFrame:

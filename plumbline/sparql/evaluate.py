@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Dataset, Graph
+from ..graph import SHAPES_GRAPH, Dataset, Graph, local_frame
 from ..operators import paths
 from ..plans.ir import Path
-from ..terms import TERM, Term, is_term, same
+from ..terms import Term, iri, is_term, same
 from .ast import Bind, Call, Filter, Group, InGraph, Minus, Optional, Query, Service, SubSelect, Triple, Union, Values, Var
 from .functions import Expressions, aggregate
 from .parser import AGGREGATES, QueryError
@@ -163,8 +163,7 @@ class Evaluator:
         return out.select(*keep, *(F.col(f"_e_{v}").alias(col(v)) for v in fresh))
 
     def values(self, p: Values, rows: DataFrame) -> DataFrame:
-        part = lambda t: None if t is None else (t.kind, t.lex, t.dt, t.lang, t.num)
-        data = self.spark.createDataFrame([tuple(part(t) for t in r) for r in p.rows], ", ".join(f"_e_{v} {TERM}" for v in p.names))
+        data = local_frame(self.spark, p.rows, **{f"_e_{v}": "term" for v in p.names})
         shared = [v for v in p.names if col(v) in rows.columns]
         test: Column = F.lit(True)
         for v in shared:
@@ -180,9 +179,6 @@ class Evaluator:
         if isinstance(p.name, Term):
             g = self.dataset.named(p.name.lex)
             return rows.where("false") if g is None else self.group(p.group, rows, g)
-        from ..graph import SHAPES_GRAPH
-        from ..terms import iri
-
         g, name = self.dataset.named(SHAPES_GRAPH), iri(SHAPES_GRAPH)
         if col(p.name.name) in rows.columns:
             rows = rows.where(is_term(F.col(col(p.name.name)), name))
@@ -261,7 +257,7 @@ def run_query(dataset: Dataset, text: str, prefixes: dict[str, str] | None = Non
     from .parser import parse_query
 
     q, ev = parse_query(text, prefixes), Evaluator(dataset)
-    start = dataset.data.spark.createDataFrame([(1,)], "_one int")
+    start = dataset.data.spark.range(1).select(F.lit(1).alias("_one"))
     if q.select is None:
         found = ev.group(q.where, start, dataset.data)
         return found.agg((F.count("*") > 0).alias("ask"))

@@ -130,3 +130,14 @@ def test_tool_server(spark):
     assert "Conforms: true" in call("validate_graphs", data="", shapes=SHAPES)["content"][0]["text"]
     assert call("lint_graph", text="x")["content"][0]["text"] != "ok" and call("parse_shapes_graph")["isError"]
     assert ask("nothing")["error"]["code"] == -32601 and answer({"method": "notifications/initialized"}, None) is None
+
+
+def test_store(spark, tmp_path):
+    from plumbline.sources.store import load_graph, save_graph
+
+    g = TripleGraph.of(spark, readers.read_triples(TTL))
+    save_graph(g, str(tmp_path / "g"), files_each=2)
+    again = load_graph(spark, str(tmp_path / "g"))
+    assert {(str(r.s), r.p, str(r.o)) for r in again.triples().collect()} == {(str(r.s), r.p, str(r.o)) for r in g.triples().collect()}
+    plan = again.pred(E + "p")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and again.pred(E + "p").count() == 8
