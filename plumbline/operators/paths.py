@@ -129,17 +129,17 @@ def inverted(path: Path) -> Path:
     return Inverse(path)
 
 
-def one_step(path: Path) -> bool:
-    """Whether the path's values per focus are distinct without a shuffle: a predicate from distinct subjects."""
-    return isinstance(path, Predicate)
+def single(path: Path) -> bool:
+    """Whether the path is one predicate, forwards or backwards, whose pairs are distinct as they are."""
+    return isinstance(path, Predicate) or (isinstance(path, Inverse) and isinstance(path.path, Predicate))
 
 
 def resolve(foci: DataFrame, path: Path, graph: Graph, cycle_back: bool = True) -> DataFrame:
     """(…, focus, value) for distinct rows of ``foci`` (…, focus)."""
     now = foci.withColumn("value", F.col("focus"))
-    if one_step(path):
+    if isinstance(path, Predicate):
         return step(now, pairs(path, graph))  # foci and pairs are distinct, so are rows
-    if isinstance(path, Inverse) and isinstance(path.path, Predicate):
+    if single(path):
         e = pairs(path, graph).select(F.col("s").alias("_s"), F.col("o").alias("_o"))
         return now.join(e, same(F.col("value"), F.col("_s"))).select(*foci.columns, F.col("_o").alias("value"))
     return follow(now, path, graph, cycle_back)

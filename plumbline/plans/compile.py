@@ -56,7 +56,8 @@ class Compiler:
         if shape.deactivated or not shape.targets:
             return self.none()
         foci = self.targets.of(shape.targets)
-        return self.results(shape, foci.select(F.col("focus").alias("root"), "focus"))
+        wide = all(t.kind in ("class", "implicit", "subjects") for t in shape.targets)
+        return self.results(shape, foci.select(F.col("focus").alias("root"), "focus"), plain=True, wide=wide)
 
     def none(self) -> DataFrame:
         return self.spark.createDataFrame([], RESULT)
@@ -74,7 +75,7 @@ class Compiler:
                 # each constraint inside reads the nodes again; without a cut, plans would grow with the power of the depth
                 nodes = cut(nodes)
             foci = nodes.select(F.col("value").alias("root"), F.col("value").alias("focus"))
-            return self.results(shape, foci).select(F.col("root").alias("value")).distinct()
+            return self.results(shape, foci, plain=True).select(F.col("root").alias("value")).distinct()
         finally:
             self._depth -= 1
 
@@ -84,8 +85,13 @@ class Compiler:
             return foci.withColumn("value", F.col("focus"))
         return paths.resolve(foci, shape.path, self.graph, self.mode.cycle_back)
 
-    def results(self, shape: Shape, foci: DataFrame, siblings: tuple[Shape, ...] = ()) -> DataFrame:
-        """All result rows of ``shape`` for distinct ``foci`` (root, focus)."""
+    def results(
+        self, shape: Shape, foci: DataFrame, siblings: tuple[Shape, ...] = (), plain: bool = False, wide: bool = False
+    ) -> DataFrame:
+        """All result rows of ``shape`` for distinct ``foci`` (root, focus).
+
+        ``plain``: each focus is its own root. ``wide``: the foci are a class or so, not a few constants.
+        """
         found: list[DataFrame] = []
         vals = self.values(shape, foci)
         local, counted, rest = [], [], []
@@ -99,7 +105,7 @@ class Compiler:
         if local:
             found.append(self._finish(shape, self._local(local, vals)))
         if counted:
-            found.append(self._finish(shape, self._counted(counted, shape, foci, vals, siblings)))
+            found.append(self._finish(shape, self._counted(counted, shape, foci, vals, siblings, plain, wide)))
         for c in rest:
             fn = COMPONENTS.get(c.component) or (_sparql if c.params.get("custom") else OTHERS.get(c.name))
             if fn is None:
@@ -113,7 +119,7 @@ class Compiler:
                 continue
             inner = vals.select("root", F.col("value").alias("focus"))
             inner = inner if shape.path is None else inner.distinct()
-            found.append(self.results(p, inner, qualified))
+            found.append(self.results(p, inner, qualified, plain and shape.path is None, wide and shape.path is None))
         return reduce(DataFrame.unionByName, found) if found else self.none()
 
     def _finish(self, shape: Shape, rows: DataFrame, c: Constraint | None = None) -> DataFrame:
@@ -156,7 +162,9 @@ class Compiler:
 
     # all values of a focus ---------------------------------------------------------------------------------------
 
-    def _counted(self, constraints: list[Constraint], shape: Shape, foci: DataFrame, vals: DataFrame, siblings) -> DataFrame:
+    def _counted(
+        self, constraints: list[Constraint], shape: Shape, foci: DataFrame, vals: DataFrame, siblings, plain: bool, wide: bool
+    ) -> DataFrame:
         """One aggregation for all constraints that count a focus's values."""
         aggregates, checks, rows = {"n": F.count("value")}, [], vals
         for c in constraints:
@@ -195,12 +203,21 @@ class Compiler:
                 if high is not None:
                     one = Constraint(c.component.replace("Qualified", "QualifiedMaxCount"), p)
                     checks.append((one, F.coalesce(k, F.lit(0)) > high, f"has more than {high} values of the qualified shape"))
-        grouped = rows.groupBy("root", "focus").agg(*(a.alias(k) for k, a in aggregates.items()))
+        made_of = [a.alias(k) for k, a in aggregates.items()]
         if shape.path is None:
-            whole = grouped
+            whole = rows.groupBy("root", "focus").agg(*made_of)
+        elif plain and wide and rows is vals and paths.single(shape.path):
+            # a predicate's pairs are counted where they lie, before they meet the foci
+            edges = paths.pairs(shape.path, self.graph)
+            g = edges.select(paths.node_key(F.col("s")).alias("_k"), F.col("o").alias("value")).groupBy("_k").agg(*made_of)
+            whole = foci.join(g, paths.node_key(F.col("focus")) == F.col("_k"), "left").drop("_k")
+        elif plain:
+            g = rows.groupBy("focus").agg(*made_of).withColumnRenamed("focus", "_focus")
+            whole = foci.join(g, same(F.col("focus"), F.col("_focus")), "left").drop("_focus")
         else:
-            g = grouped.withColumnsRenamed({"root": "_root", "focus": "_focus"})
-            whole = foci.join(g, same(F.col("focus"), F.col("_focus")) & same(F.col("root"), F.col("_root")), "left").drop("_root", "_focus")
+            g = rows.groupBy("root", "focus").agg(*made_of).withColumnsRenamed({"root": "_root", "focus": "_focus"})
+            on = same(F.col("focus"), F.col("_focus")) & same(F.col("root"), F.col("_root"))
+            whole = foci.join(g, on, "left").drop("_root", "_focus")
         made = lambda c, m: F.struct(F.lit(c.component).alias("component"), F.lit(str(c)).alias("detail"), F.lit(m).alias("message"))
         each = F.filter(F.array(*(F.when(b, made(c, m)) for c, b, m in checks)), lambda x: x.isNotNull())
         return whole.where(reduce(or_, [b for _, b, _ in checks])).withColumn("_x", F.explode(each)).select("root", "focus", "_x.*")
