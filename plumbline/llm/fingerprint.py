@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from .common import table
 
 #: Characters of a leaf in a fingerprint; how far apart pieces end, at least and at most.
 LEAF, NEAR, MOST = 4, 6, 48
+#: Rows that a task holds in Python at a time.
+ROWS = 128
 
 _A, _B, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _POWERS = np.cumprod(np.full(MOST, _B, np.uint64))
@@ -145,9 +148,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, text and ``next_text`` of each row: the text of the row after it, the first row's after the last.
+def with_next(docs: DataFrame, blocks: int, each=None, columns: str = "text string, next_text string") -> DataFrame:
+    """doc_id and what ``each`` makes of (text, next text) for each row: by default the two texts themselves.
 
+    The text after a row's is that of the next row, and the first row's after the last.
     Rows are ordered by doc_id (null first), then text; a null text is the empty text. Ids are cut into ``blocks``
     ranges of about equal numbers of rows; each range is dealt, with the first row of the next range that has rows,
     to one task, which reads it in order. So no task sees all rows, a text moves once, and the driver sees one id a range.
@@ -167,18 +171,22 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     both = both.repartition(max(1, blocks // 4), "block").sortWithinPartitions("block", "ahead", "place", "text")
     both = both.select("doc_id", "text", "block", "ahead")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            out = []
-            for row in zip(b["doc_id"], b["text"], b["block"], b["ahead"], strict=True):
-                if held and held[2] == row[2]:
-                    out.append((held[0], held[1], row[1]))
-                held = None if row[3] else row
-            ids = pd.array([None if pd.isna(x[0]) else int(x[0]) for x in out], dtype="Int64")
-            yield pd.DataFrame({"doc_id": ids, "text": [x[1] for x in out], "next_text": [x[2] for x in out]})
+            for k in range(0, b.num_rows, ROWS):
+                out = []
+                for row in zip(*(c.to_pylist() for c in b.slice(k, ROWS).columns), strict=True):
+                    if held and held[2] == row[2]:
+                        out.append((held[0], *(each(held[1], row[1]) if each else (held[1], row[1]))))
+                    held = None if row[3] else row
+                arrays = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else []
+                if out:
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return both.mapInPandas(run, "doc_id bigint, text string, next_text string")
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in f"doc_id bigint, {columns}".split(", "))])
+    return both.mapInArrow(run, f"doc_id bigint, {columns}")
 
 
 def _rank(value, cuts: list[int]):
@@ -197,25 +205,21 @@ def edited(text: str, other: str) -> str:
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses."""
     docs = table(spark, sf_dir, "documents")
-    pairs = with_next(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            last = (None, "")
-            for doc_id, text, other in zip(b["doc_id"], b["text"], b["next_text"], strict=True):
-                changed = edited(text, other)
-                mark = last[1] if last[0] == text else fingerprint(text)
-                after = fingerprint(other)
-                last = (other, after)
-                half = fingerprint(changed)
-                sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc_id, len(text), sha, mark, half, likeness(mark, half), likeness(mark, after)))
-            names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-            yield pd.DataFrame(out, columns=names)
-
-    return pairs.mapInPandas(
-        run,
-        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-        " near_edited double, near_next double",
+    last = (None, "")
+
+    def each(text: str, other: str) -> tuple:
+        nonlocal last
+        changed = edited(text, other)
+        mark = last[1] if last[0] == text else fingerprint(text)
+        after = fingerprint(other)
+        last = (other, after)
+        half = fingerprint(changed)
+        sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+        return len(text), sha, mark, half, likeness(mark, half), likeness(mark, after)
+
+    return with_next(
+        docs,
+        4 * int(spark.conf.get("spark.sql.shuffle.partitions")),
+        each,
+        "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
