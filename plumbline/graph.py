@@ -68,6 +68,14 @@ class Graph:
             found += level
         return found
 
+    def home(self, classes: Iterable[str]) -> Mapping | None:
+        """The table whose rows are just the instances of the classes, if the graph has tables and one is."""
+        return None
+
+    def column_of(self, home: Mapping, p: str) -> Column | None:
+        """The term column of the table ``home`` that holds all values of ``p`` of its rows, if one does."""
+        return None
+
     def cache(self) -> Graph:
         return self
 
@@ -185,6 +193,18 @@ class MappedGraph(Graph):
         out = reduce(DataFrame.unionByName, found)
         return out if len(found) == 1 else out.distinct()
 
+    def home(self, classes: Iterable[str]) -> Mapping | None:
+        classes = set(classes)
+        hit = [m for m in self.mappings if m.cls in classes]
+        typed = any(p == TYPE and o.lex in classes for _, p, o in self.extra)
+        return hit[0] if len(hit) == 1 and hit[0].unique and not typed else None
+
+    def column_of(self, home: Mapping, p: str) -> Column | None:
+        others = any(m is not home and m.subject.base == home.subject.base and p in m.predicates for m in self.mappings)
+        if others or p not in home.predicates or any(q == p for _, q, _ in self.extra):
+            return None
+        return home.predicates[p].term()
+
     def below(self, start: str, p: str) -> list[str]:
         """Tables hold no hierarchy unless a column is mapped to it; without one the extra triples tell."""
         if any(p in m.predicates for m in self.mappings):

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..graph import SUBCLASS, Dataset
+from ..graph import SUBCLASS, Dataset, Mapping
 from ..operators import paths
 from ..operators.fixpoint import cut
 from ..operators.targets import Targets
 from ..terms import TERM, in_terms, is_term, same
-from .ir import Constraint, Shape
+from .ir import Constraint, Path, Predicate, Sequence, Shape
 from .mode import STRICT, Mode
 
 RESULT = (
@@ -30,12 +30,12 @@ RESULT = (
 )
 NO_TERM = f"CAST(NULL AS {TERM})"
 
-#: Components registered by users: IRI to fn(compiler, shape, constraint, foci, values) -> DataFrame[root, focus, value, message].
+#: Components registered by users: IRI to fn(compiler, shape, constraint, foci, values, home) -> DataFrame.
 COMPONENTS: dict[str, Callable] = {}
 
 
 def register_component(iri: str, fn: Callable) -> None:
-    """Add a constraint component; ``fn`` returns the violations as (root, focus, value, message)."""
+    """Add a constraint component; ``fn`` returns the violations: columns of ``values`` and a ``message``."""
     COMPONENTS[iri] = fn
 
 
@@ -55,9 +55,8 @@ class Compiler:
         """Result rows of a shape for its targets."""
         if shape.deactivated or not shape.targets:
             return self.none()
-        foci = self.targets.of(shape.targets)
         wide = all(t.kind in ("class", "implicit", "subjects") for t in shape.targets)
-        return self.results(shape, foci.select(F.col("focus").alias("root"), "focus"), plain=True, wide=wide)
+        return self.results(shape, self.targets.of(shape.targets), wide=wide, home=self._home(shape))
 
     def none(self) -> DataFrame:
         return self.spark.createDataFrame([], RESULT)
@@ -74,26 +73,42 @@ class Compiler:
             if self._depth > 1 or narrowed:
                 # each constraint inside reads the nodes again; without a cut, plans would grow with the power of the depth
                 nodes = cut(nodes)
-            foci = nodes.select(F.col("value").alias("root"), F.col("value").alias("focus"))
-            return self.results(shape, foci, plain=True).select(F.col("root").alias("value")).distinct()
+            found = self.results(shape, nodes.select(F.col("value").alias("focus")))
+            return found.select(F.col("root").alias("value")).distinct()
         finally:
             self._depth -= 1
 
-    def values(self, shape: Shape, foci: DataFrame) -> DataFrame:
-        """(root, focus, value): the focus itself for a node shape, the path's distinct values for a property shape."""
-        if shape.path is None:
+    def _home(self, shape: Shape) -> Mapping | None:
+        """The table whose rows are just the focus nodes of the shape's targets, if there is one."""
+        if not all(t.kind in ("class", "implicit") for t in shape.targets):
+            return None
+        return self.graph.home([c for t in shape.targets for c in self.below(t.term.lex, SUBCLASS)])
+
+    def values(self, path: Path | None, foci: DataFrame, home: Mapping | None = None) -> DataFrame:
+        """``foci`` with ``value``: the focus itself without a path, else each of the path's distinct values.
+
+        If the foci are the rows of a table, a predicate that is one of its columns needs no join.
+        """
+        if path is None:
             return foci.withColumn("value", F.col("focus"))
-        return paths.resolve(foci, shape.path, self.graph, self.mode.cycle_back)
+        first, rest = (path.parts[0], path.parts[1:]) if isinstance(path, Sequence) else (path, ())
+        column = self.graph.column_of(home, first.iri) if home is not None and isinstance(first, Predicate) else None
+        if column is None:
+            return paths.resolve(foci, path, self.graph, self.mode.cycle_back)
+        now = home.frame.select(home.subject.term().alias("focus"), column.alias("value")).where("value.lex is not null")
+        for p in rest:
+            now = paths.follow(now, p, self.graph, self.mode.cycle_back)
+        return now
 
     def results(
-        self, shape: Shape, foci: DataFrame, siblings: tuple[Shape, ...] = (), plain: bool = False, wide: bool = False
+        self, shape: Shape, foci: DataFrame, siblings: tuple[Shape, ...] = (), wide: bool = False, home: Mapping | None = None
     ) -> DataFrame:
-        """All result rows of ``shape`` for distinct ``foci`` (root, focus).
+        """All result rows of ``shape`` for distinct ``foci``: (focus), each its own root, or (root, focus).
 
-        ``plain``: each focus is its own root. ``wide``: the foci are a class or so, not a few constants.
+        ``wide``: the foci are a class or so, not a few constants. ``home``: they are the rows of this table.
         """
         found: list[DataFrame] = []
-        vals = self.values(shape, foci)
+        vals = self.values(shape.path, foci, home)
         local, counted, rest = [], [], []
         for c in shape.constraints:
             if c.name in LOCAL:
@@ -105,21 +120,24 @@ class Compiler:
         if local:
             found.append(self._finish(shape, self._local(local, vals)))
         if counted:
-            found.append(self._finish(shape, self._counted(counted, shape, foci, vals, siblings, plain, wide)))
+            found.append(self._finish(shape, self._counted(counted, shape, foci, vals, siblings, wide, home)))
         for c in rest:
             fn = COMPONENTS.get(c.component) or (_sparql if c.params.get("custom") else OTHERS.get(c.name))
             if fn is None:
                 raise ValueError(f"no evaluator for {c.component}")
-            out = fn(self, shape, c, foci, vals)
+            out = fn(self, shape, c, foci, vals, home)
             if out is not None:
                 found.append(out if "shape" in out.columns else self._finish(shape, out, c))
         qualified = tuple(p for p in shape.properties if any(c.name == "Qualified" for c in p.constraints))
         for p in shape.properties:
             if p.deactivated and self.mode.deactivated_everywhere:
                 continue
-            inner = vals.select("root", F.col("value").alias("focus"))
-            inner = inner if shape.path is None else inner.distinct()
-            found.append(self.results(p, inner, qualified, plain and shape.path is None, wide and shape.path is None))
+            if shape.path is None:
+                found.append(self.results(p, foci, qualified, wide, home))
+            else:
+                root = F.col("root" if "root" in vals.columns else "focus")
+                inner = vals.select(root.alias("root"), F.col("value").alias("focus")).distinct()
+                found.append(self.results(p, inner, qualified))
         return reduce(DataFrame.unionByName, found) if found else self.none()
 
     def _finish(self, shape: Shape, rows: DataFrame, c: Constraint | None = None) -> DataFrame:
@@ -129,7 +147,7 @@ class Compiler:
         message = F.array("message") if "message" in has else F.array().cast("array<string>")
         path = F.col("path") if "path" in has else F.lit(shape.path_text or (str(shape.path) if shape.path else None)).cast("string")
         return rows.select(
-            "root",
+            F.col("root" if "root" in has else "focus").alias("root"),
             "focus",
             path.alias("path"),
             (F.col("value") if "value" in has else F.expr(NO_TERM)).alias("value"),
@@ -155,18 +173,19 @@ class Compiler:
         made = lambda c, m: F.struct(F.lit(c.component).alias("component"), F.lit(str(c)).alias("detail"), F.lit(m).alias("message"))
         if len(tests) == 1:
             c, broken, m = tests[0]
-            return vals.where(broken).withColumn("_x", made(c, m)).select("root", "focus", "value", "_x.*")
+            return vals.where(broken).withColumn("_x", made(c, m)).select(*ids(vals), "value", "_x.*")
         any_ = reduce(or_, [b for _, b, _ in tests])
         each = F.filter(F.array(*(F.when(b, made(c, m)) for c, b, m in tests)), lambda x: x.isNotNull())
-        return vals.where(any_).withColumn("_x", F.explode(each)).select("root", "focus", "value", "_x.*")
+        return vals.where(any_).withColumn("_x", F.explode(each)).select(*ids(vals), "value", "_x.*")
 
     # all values of a focus ---------------------------------------------------------------------------------------
 
     def _counted(
-        self, constraints: list[Constraint], shape: Shape, foci: DataFrame, vals: DataFrame, siblings, plain: bool, wide: bool
+        self, constraints: list[Constraint], shape: Shape, foci: DataFrame, vals: DataFrame, siblings, wide: bool, home
     ) -> DataFrame:
         """One aggregation for all constraints that count a focus's values."""
         aggregates, checks, rows = {"n": F.count("value")}, [], vals
+        of_one = {"n": F.col("value").isNotNull().cast("int")}  # the same of at most one value
         for c in constraints:
             p = c.params
             if c.name == "MinCount":
@@ -175,7 +194,8 @@ class Compiler:
                 checks.append((c, F.coalesce("n", F.lit(0)) > p["maxCount"], f"has more than {p['maxCount']} values"))
             elif c.name == "HasValue":
                 k = f"h{len(aggregates)}"
-                aggregates[k] = F.max(is_term(F.col("value"), p["hasValue"]).cast("int"))
+                of_one[k] = is_term(F.col("value"), p["hasValue"]).cast("int")
+                aggregates[k] = F.max(of_one[k])
                 checks.append((c, F.coalesce(k, F.lit(0)) == 0, f"lacks the value {p['hasValue']}"))
             elif c.name == "Qualified":
                 inner: Shape = p["qualifiedValueShape"]
@@ -205,22 +225,25 @@ class Compiler:
                     checks.append((one, F.coalesce(k, F.lit(0)) > high, f"has more than {high} values of the qualified shape"))
         made_of = [a.alias(k) for k, a in aggregates.items()]
         if shape.path is None:
-            whole = rows.groupBy("root", "focus").agg(*made_of)
-        elif plain and wide and rows is vals and paths.single(shape.path):
+            whole = rows.groupBy(*ids(rows)).agg(*made_of)
+        elif home is not None and rows is vals and isinstance(shape.path, Predicate) and (one := self.graph.column_of(home, shape.path.iri)) is not None:
+            # a column has one value or none a row, so there is nothing to group
+            row = home.frame.select(home.subject.term().alias("focus"), one.alias("value"))
+            row = row.withColumn("value", F.when(F.col("value.lex").isNotNull(), F.col("value")))
+            whole = row.select("focus", *(x.alias(k) for k, x in of_one.items()))
+        elif wide and rows is vals and paths.single(shape.path):
             # a predicate's pairs are counted where they lie, before they meet the foci
             edges = paths.pairs(shape.path, self.graph)
             g = edges.select(paths.node_key(F.col("s")).alias("_k"), F.col("o").alias("value")).groupBy("_k").agg(*made_of)
             whole = foci.join(g, paths.node_key(F.col("focus")) == F.col("_k"), "left").drop("_k")
-        elif plain:
-            g = rows.groupBy("focus").agg(*made_of).withColumnRenamed("focus", "_focus")
-            whole = foci.join(g, same(F.col("focus"), F.col("_focus")), "left").drop("_focus")
         else:
-            g = rows.groupBy("root", "focus").agg(*made_of).withColumnsRenamed({"root": "_root", "focus": "_focus"})
-            on = same(F.col("focus"), F.col("_focus")) & same(F.col("root"), F.col("_root"))
-            whole = foci.join(g, on, "left").drop("_root", "_focus")
+            names = ids(rows)
+            g = rows.groupBy(*names).agg(*made_of).withColumnsRenamed({x: f"_{x}" for x in names})
+            on = reduce(and_, [same(F.col(x), F.col(f"_{x}")) for x in names])
+            whole = foci.join(g, on, "left").drop(*(f"_{x}" for x in names))
         made = lambda c, m: F.struct(F.lit(c.component).alias("component"), F.lit(str(c)).alias("detail"), F.lit(m).alias("message"))
         each = F.filter(F.array(*(F.when(b, made(c, m)) for c, b, m in checks)), lambda x: x.isNotNull())
-        return whole.where(reduce(or_, [b for _, b, _ in checks])).withColumn("_x", F.explode(each)).select("root", "focus", "_x.*")
+        return whole.where(reduce(or_, [b for _, b, _ in checks])).withColumn("_x", F.explode(each)).select(*ids(whole), "_x.*")
 
     # helpers ------------------------------------------------------------------------------------------------------
 
@@ -229,9 +252,14 @@ class Compiler:
             self._below[start, p] = self.graph.below(start, p)
         return self._below[start, p]
 
-    def other_values(self, path, foci: DataFrame) -> DataFrame:
-        """(root, focus, other): the values of another path."""
-        return paths.resolve(foci, path, self.graph, self.mode.cycle_back).withColumnRenamed("value", "other")
+    def other_values(self, path: Path, foci: DataFrame, home: Mapping | None = None) -> DataFrame:
+        """``foci`` with ``other``: the values of another path."""
+        return self.values(path, foci, home).withColumnRenamed("value", "other")
+
+
+def ids(frame: DataFrame) -> list[str]:
+    """The columns that tell the question a row belongs to: the focus, and the root where it isn't the focus."""
+    return [c for c in ("root", "focus") if c in frame.columns]
 
 
 # value-local constraints: lists of (broken, message) -----------------------------------------------------------------
@@ -321,7 +349,7 @@ COUNTED = ("MinCount", "MaxCount", "HasValue", "Qualified")
 # constraints with plans of their own ------------------------------------------------------------------------------
 
 
-def _class(k: Compiler, shape: Shape, c: Constraint, foci: DataFrame, vals: DataFrame) -> DataFrame:
+def _class(k: Compiler, shape: Shape, c: Constraint, foci: DataFrame, vals: DataFrame, home=None) -> DataFrame:
     cls = c.params["class"].lex
     classes = k.below(cls, SUBCLASS) if k.mode.class_by_subclass else [cls]
     good = k.graph.instances(classes).select(F.col("s").alias("_s"))
@@ -329,15 +357,15 @@ def _class(k: Compiler, shape: Shape, c: Constraint, foci: DataFrame, vals: Data
     return out.withColumn("message", F.lit(f"is no instance of {cls}"))
 
 
-def _unique_lang(k, shape, c, foci, vals):
+def _unique_lang(k, shape, c, foci, vals, home=None):
     if not c.params["uniqueLang"] and k.mode.unique_lang_flag:
         return None
     tagged = vals.where("value.lang <> ''")
-    by = Window.partitionBy("root", "focus", "value.lang").orderBy("value.lex")
+    by = Window.partitionBy(*ids(vals), "value.lang").orderBy("value.lex")
     if k.mode.unique_lang_flag:
         # one result for each tag that is used more than once
-        many = tagged.groupBy("root", "focus", F.col("value.lang").alias("lang")).agg(F.count("*").alias("n")).where("n > 1")
-        return many.select("root", "focus", F.concat(F.lit("repeats the language "), "lang").alias("message"))
+        many = tagged.groupBy(*ids(vals), F.col("value.lang").alias("lang")).agg(F.count("*").alias("n")).where("n > 1")
+        return many.select(*ids(vals), F.concat(F.lit("repeats the language "), "lang").alias("message"))
     again = tagged.withColumn("_n", F.row_number().over(by)).where("_n > 1").drop("_n")
     return again.withColumn("message", F.lit("repeats a language"))
 
@@ -345,44 +373,51 @@ def _unique_lang(k, shape, c, foci, vals):
 def _matching(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     """Rows of ``a`` (root, focus, value) with (semi) or without (anti) an equal row in ``b``."""
     x, y = a.alias("x"), b.alias("y")
-    on = reduce(and_, [same(F.col(f"x.{t}"), F.col(f"y.{t}")) for t in ("root", "focus", "value")])
+    on = reduce(and_, [same(F.col(f"x.{t}"), F.col(f"y.{t}")) for t in (*ids(a), "value")])
     return x.join(y, on, how)
 
 
-def _equals(k, shape, c, foci, vals):
-    other = k.other_values(c.params["equals"], foci).withColumnRenamed("other", "value").distinct()
+def _equals(k, shape, c, foci, vals, home=None):
+    other = k.values(c.params["equals"], foci, home)
     left, right = _matching(vals, other, "left_anti"), _matching(other, vals, "left_anti")
     name = str(c.params["equals"])
     if k.mode.equals_as_sets:
         return left.unionByName(right.select(*left.columns)).withColumn("message", F.lit(f"is not a value of both paths: {name}"))
     found = []
     if shape.is_property:
-        ends = left.select("root", "focus").unionByName(right.select("root", "focus")).distinct()
+        ends = left.select(*ids(left)).unionByName(right.select(*ids(left))).distinct()
         found.append(ends.withColumn("value", F.expr(NO_TERM)))
-    o = other.select("root", "focus").distinct().alias("y")
-    f = foci.alias("x")
-    on = same(F.col("x.root"), F.col("y.root")) & same(F.col("x.focus"), F.col("y.focus"))
-    found.append(f.join(o, on, "left_anti").select("root", "focus", F.expr(NO_TERM).alias("value")))
-    found.append(other.where(~same(F.col("value"), F.col("focus"))).select("root", "focus", "value"))
+    names = ids(foci)
+    on = reduce(and_, [same(F.col(f"x.{t}"), F.col(f"y.{t}")) for t in names])
+    bare = foci.alias("x").join(other.select(*names).distinct().alias("y"), on, "left_anti")
+    found.append(bare.select(*names, F.expr(NO_TERM).alias("value")))
+    found.append(other.where(~same(F.col("value"), F.col("focus"))).select(*names, "value"))
     return reduce(DataFrame.unionByName, found).withColumn("message", F.lit(f"is not equal to {name}"))
 
 
-def _disjoint(k, shape, c, foci, vals):
-    other = k.other_values(c.params["disjoint"], foci).withColumnRenamed("other", "value")
+def _disjoint(k, shape, c, foci, vals, home=None):
+    other = k.values(c.params["disjoint"], foci, home)
     return _matching(vals, other, "left_semi").withColumn("message", F.lit(f"is also a value of {c.params['disjoint']}"))
 
 
 def _less(name: str, op: str):
-    def test(k, shape, c, foci, vals):
-        other = k.other_values(c.params[name], foci).withColumnsRenamed({"root": "_root", "focus": "_focus"})
-        on = same(F.col("root"), F.col("_root")) & same(F.col("focus"), F.col("_focus"))
-        both = vals.join(other, on).drop("_root", "_focus")
+    def test(k, shape, c, foci, vals, home=None):
+        names = ids(foci)
+        one = [k.graph.column_of(home, p.iri) if home is not None and isinstance(p, Predicate) else None for p in (shape.path, c.params[name])]
+        if None not in one:
+            # two columns of a row
+            both = home.frame.select(home.subject.term().alias("focus"), one[0].alias("value"), one[1].alias("other"))
+            both = both.where("value.lex is not null and other.lex is not null")
+        else:
+            other = k.other_values(c.params[name], foci, home).withColumnsRenamed({x: f"_{x}" for x in names})
+            on = reduce(and_, [same(F.col(x), F.col(f"_{x}")) for x in names])
+            both = vals.join(other, on).drop(*(f"_{x}" for x in names))
         holds = V.compare(F.col("value"), F.col("other"), op, k.mode.compare_by_datatype)
         text = F.lit(f"is not {op} the values of {c.params[name]}")
         if k.mode.less_than_each_pair:
-            return both.where(~holds).select("root", "focus", "value", text.alias("message"))
-        some = both.groupBy("root", "focus", "value").agg(F.bool_or(holds).alias("_any")).where("not _any")
-        return some.select("root", "focus", "value", text.alias("message"))
+            return both.where(~holds).select(*names, "value", text.alias("message"))
+        some = both.groupBy(*names, "value").agg(F.bool_or(holds).alias("_any")).where("not _any")
+        return some.select(*names, "value", text.alias("message"))
 
     return test
 
@@ -404,7 +439,7 @@ def _traced(rows: DataFrame, what: str, message: str) -> DataFrame:
     return rows.withColumn("trace", F.array(F.lit(what))).withColumn("message", F.lit(message))
 
 
-def _node(k, shape, c, foci, vals):
+def _node(k, shape, c, foci, vals, home=None):
     inner: Shape = c.params["node"]
     out = _failing_values(k, vals, [inner], lambda n: n == 0)
     if not k.mode.siblings_disjoint_only:
@@ -412,12 +447,12 @@ def _node(k, shape, c, foci, vals):
     return out.withColumn("message", F.lit(f"doesn't conform to {inner.node}"))
 
 
-def _and(k, shape, c, foci, vals):
+def _and(k, shape, c, foci, vals, home=None):
     some = c.params["and"]
     return _traced(_failing_values(k, vals, some, lambda n: n < len(some)), "sh:and validation", "doesn't conform to all shapes")
 
 
-def _or(k, shape, c, foci, vals):
+def _or(k, shape, c, foci, vals, home=None):
     """Successive narrowing: a shape is asked only about values that failed all shapes before it."""
     nodes = vals.select("value").distinct()
     for i, s in enumerate(c.params["or"]):
@@ -426,16 +461,16 @@ def _or(k, shape, c, foci, vals):
     return _traced(vals.join(n, same(F.col("value"), F.col("_v")), "left_semi"), "sh:or validation", "conforms to none of the shapes")
 
 
-def _xone(k, shape, c, foci, vals):
+def _xone(k, shape, c, foci, vals, home=None):
     return _traced(_failing_values(k, vals, c.params["xone"], lambda n: n != 1), "sh:xone validation", "doesn't conform to exactly one shape")
 
 
-def _not(k, shape, c, foci, vals):
+def _not(k, shape, c, foci, vals, home=None):
     inner = c.params["not"]
     return _traced(_failing_values(k, vals, [inner], lambda n: n == 1), "sh:not validation", f"conforms to {inner.node}")
 
 
-def _closed(k, shape, c, foci, vals):
+def _closed(k, shape, c, foci, vals, home=None):
     if shape.is_property and not k.mode.closed_on_properties:
         return None
     allowed = set(c.params["ignored"])
@@ -444,7 +479,7 @@ def _closed(k, shape, c, foci, vals):
     t = k.graph.triples().where(~F.col("p").isin(sorted(allowed)) if allowed else F.lit(True))
     t = t.select(F.col("s").alias("_s"), F.col("p").alias("path"), F.col("o").alias("_o"))
     v = vals.where("value.kind <> 'literal'")
-    out = v.join(t, same(F.col("value"), F.col("_s"))).select("root", "focus", "path", F.col("_o").alias("value"))
+    out = v.join(t, same(F.col("value"), F.col("_s"))).select(*ids(vals), "path", F.col("_o").alias("value"))
     if k.mode.closed_reports_predicate:
         out = out.withColumn("path", F.concat(F.lit("<"), "path", F.lit(">")))
     else:
@@ -452,9 +487,11 @@ def _closed(k, shape, c, foci, vals):
     return out.withColumn("message", F.lit("has a predicate that the shape doesn't allow"))
 
 
-def _sparql(k, shape, c, foci, vals):
+def _sparql(k, shape, c, foci, vals, home=None):
     from ..sparql.constraint import evaluate
 
+    if "root" not in foci.columns:
+        foci, vals = (x.withColumn("root", F.col("focus")) for x in (foci, vals))
     return evaluate(k, shape, c, foci, vals)
 
 

@@ -108,7 +108,7 @@ def mapped(spark: SparkSession, sf_dir: str, *names: str, extra=()) -> MappedGra
 def lineitem(frame: DataFrame) -> Mapping:
     """Line items have no key. A row's subject is a hash of all its columns, which tells different rows apart.
 
-    Equal rows are one node, as equal triples are one triple; a row id would change when a task is run again.
+    A row id would change when a task is run again. Rows are taken to be distinct.
     """
     row = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.hex(F.xxhash64(*frame.columns)))
     preds = {

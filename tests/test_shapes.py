@@ -237,7 +237,7 @@ def test_registered_component(spark):
 
     from plumbline.plans.ir import Constraint, Shape
 
-    register_component("http://e/Odd", lambda k, shape, c, foci, vals: vals.where("value.num % 2 = 1").withColumn("message", F.lit("odd")))
+    register_component("http://e/Odd", lambda k, shape, c, foci, vals, home: vals.where("value.num % 2 = 1").withColumn("message", F.lit("odd")))
     shape = Shape(iri(E + "S"), Predicate(E + "age"), targets=(Target("node", iri(E + "x")),), constraints=(Constraint("http://e/Odd"),))
     rows = validate(Dataset(graph(spark, "ex:x ex:age 3, 4 .")), [shape]).rows()
     assert [(r["value"], r["messages"]) for r in rows] == [('"3"^^<http://www.w3.org/2001/XMLSchema#integer>', ["odd"])]
