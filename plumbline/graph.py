@@ -76,6 +76,10 @@ class Graph:
         """The term column of the table ``home`` that holds all values of ``p`` of its rows, if one does."""
         return None
 
+    def across(self, p: str, q: str) -> DataFrame | None:
+        """(s, o) of the path ``^p/q`` without a join, if both are columns of one table that alone has them."""
+        return None
+
     def cache(self) -> Graph:
         return self
 
@@ -205,6 +209,16 @@ class MappedGraph(Graph):
             return None
         return home.predicates[p].term()
 
+    def across(self, p: str, q: str) -> DataFrame | None:
+        owners = [m for m in self.mappings if p in m.predicates]
+        if len(owners) != 1 or not owners[0].unique or self.column_of(owners[0], p) is None:
+            return None
+        (m,) = owners
+        a, b = self.column_of(m, p), self.column_of(m, q)
+        if b is None:
+            return None
+        return m.frame.select(a.alias("s"), b.alias("o")).where("s.lex is not null and o.lex is not null")
+
     def below(self, start: str, p: str) -> list[str]:
         """Tables hold no hierarchy unless a column is mapped to it; without one the extra triples tell."""
         if any(p in m.predicates for m in self.mappings):

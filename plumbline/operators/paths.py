@@ -59,6 +59,13 @@ def step(now: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, F.col("_k") == F.col("_s")).select(*keys, F.col("_o").alias("value"))
 
 
+def _onto(now: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``step``, from values that may be literals, since they are objects of the edges' triples."""
+    e = edges.select(F.col("s").alias("_s"), F.col("o").alias("_o"))
+    keys = [c for c in now.columns if c != "value"]
+    return now.join(e, same(F.col("value"), F.col("_s"))).select(*keys, F.col("_o").alias("value"))
+
+
 def closure(starts: DataFrame, path: Path, graph: Graph, with_start_on_cycle: bool) -> DataFrame:
     """(start, value): nodes one or more steps away from each distinct ``start``.
 
@@ -89,7 +96,15 @@ def closure(starts: DataFrame, path: Path, graph: Graph, with_start_on_cycle: bo
 def follow(now: DataFrame, path: Path, graph: Graph, cycle_back: bool = True) -> DataFrame:
     """The values that ``path`` reaches from each row's ``value``; other columns are kept, and rows are distinct."""
     if isinstance(path, Sequence):
-        for p in path.parts:
+        parts = list(path.parts)
+        while parts:
+            p = parts.pop(0)
+            if parts and isinstance(parts[0], Predicate) and isinstance(p, Inverse) and isinstance(p.path, Predicate):
+                rows = graph.across(p.path.iri, parts[0].iri)
+                if rows is not None:
+                    parts.pop(0)
+                    now = _onto(now, rows).distinct()
+                    continue
             now = follow(now, p, graph, cycle_back)
         return now
     if isinstance(path, Alternative):
@@ -107,10 +122,7 @@ def follow(now: DataFrame, path: Path, graph: Graph, cycle_back: bool = True) ->
         return follow(now, inverted(path.path), graph, cycle_back)
     edges = pairs(path, graph)
     if isinstance(path, Inverse):
-        # values may be literals here: they are objects
-        e = edges.select(F.col("s").alias("_s"), F.col("o").alias("_o"))
-        keys = [c for c in now.columns if c != "value"]
-        return now.join(e, same(F.col("value"), F.col("_s"))).select(*keys, F.col("_o").alias("value")).distinct()
+        return _onto(now, edges).distinct()
     return step(now, edges).distinct()
 
 

@@ -141,3 +141,15 @@ def test_store(spark, tmp_path):
     assert {(str(r.s), r.p, str(r.o)) for r in again.triples().collect()} == {(str(r.s), r.p, str(r.o)) for r in g.triples().collect()}
     plan = again.pred(E + "p")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(p" in plan and again.pred(E + "p").count() == 8
+
+
+def test_two_columns_of_a_row(spark):
+    from plumbline.operators import paths, targets
+    from plumbline.plans.ir import Inverse, Predicate, Sequence, Target
+
+    frame = spark.createDataFrame([(1, 1, "x", 2), (2, 2, None, 2), (3, 4, "y", 1), (4, 5, "z", 2), (5, 5, "z", 2)], "id int, n int, name string, ref int")
+    g = MappedGraph([mapping(frame)])
+    path = Sequence((Inverse(Predicate(E + "ref")), Predicate(E + "name")))
+    foci = targets.resolve_target(Target("class", iri(E + "Row")), g)
+    out = [sorted((r.focus.lex, r.value.lex) for r in paths.resolve(foci, path, x).collect()) for x in (g, TripleGraph(g.triples()))]
+    assert g.across(E + "ref", E + "name") is not None and out[0] == out[1] == [(E + "row/1", "y"), (E + "row/2", "x"), (E + "row/2", "z")]
