@@ -1,0 +1,173 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, exact and without comparing all pairs.
+
+A text is its set of hashed shingles; texts with equal sets form a class, and only classes are compared. In any one
+order of all shingles, two sets with similarity ``SIMILARITY`` or more share a shingle among the first
+``n - ceil(SIMILARITY * n) + 1`` of each (the prefix), so classes meet by the shingles of their prefixes. The order puts
+common shingles last, which keeps groups small; it decides costs only. Sizes and places in the prefix discard pairs
+that cannot reach the similarity, and the whole sets of the others are compared. First every group compares its members
+to its least one, which joins dense groups at a cost in proportion to their size; then only pairs from different
+components are compared.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+from .simhash import components
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: Shingles in COMMON or more of about SAMPLE documents count as common; at most KNOWN of them are remembered.
+SAMPLE, COMMON, KNOWN = 4_000, 8, 50_000
+#: A set's map has MAP longs. The ids of up to FEW classes are broadcast to find their texts.
+MAP, FEW = 16, 200_000
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct XXH64 hashes, as signed longs, of the text's word shingles; of all words if these are fewer."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    if not parts:
+        return np.zeros(0, np.int64)
+    grams = map(b" ".join, zip(*(parts[i:] for i in range(min(SHINGLE, len(parts)))), strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, ascending, and in how many sampled documents each is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"s": shingles(t)})
+
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0)
+    counts = some.mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    got = counts.orderBy(F.desc("n"), "s").limit(KNOWN).toPandas().sort_values("s")
+    return got["s"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """doc_id, copy, ``cls`` (a hash of the set), ``n`` (its size) and ``bits`` (its map) of each row of ``docs``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingles(t) for t in b["text"]]
+            marks = np.zeros((len(sets), 64 * MAP), np.uint8)
+            for k, h in enumerate(sets):
+                marks[k, h & (64 * MAP - 1)] = 1
+            bits = np.packbits(marks, axis=1).view(np.int64) if sets else marks.view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": b["copy"], "cls": [_name(h) for h in sets], "n": [len(h) for h in sets], "bits": list(bits)})
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
+    return slim.mapInPandas(run, "doc_id long, copy long, cls long, n int, bits array<long>")
+
+
+def _name(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """(s, cls, n, i): the shingles of each class's prefix, with their places in it."""
+    known, often = _common(docs)
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        size = len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1 if len(h) else 0
+        if len(known) and len(h):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
+        return h[:size]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingles(t) for t in b["text"]]
+            yield pd.DataFrame({"cls": [_name(h) for h in sets], "n": [len(h) for h in sets], "prefix": [prefix(h) for h in sets]})
+
+    found = docs.select("text").mapInPandas(run, "cls long, n int, prefix array<long>")
+    return found.select("cls", "n", F.posexplode("prefix").alias("i", "s")).repartition("s").dropDuplicates(["s", "cls"])
+
+
+def _near() -> Column:
+    """Sizes and the places of a shared shingle allow the similarity: before and after it, the shorter side bounds both."""
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    before = F.least("x.i", "y.i")
+    after = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    return (small >= SIMILARITY * large - 1e-6) & (before + after >= SIMILARITY / (1 + SIMILARITY) * (small + large) - 1e-6)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the similarity.
+
+    A bit of one map that isn't in the other is a shingle that isn't, so maps bound what is shared; texts are read only
+    for the pairs that are left.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = {x: shingles(t) for k, t in (("a", "one"), ("b", "two")) for x, t in zip(b[k], b[t], strict=True)}
+            hit = []
+            for x, y in zip(b["a"], b["b"], strict=True):
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                hit.append(shared / (len(sets[x]) + len(sets[y]) - shared) >= SIMILARITY)
+            yield b.loc[hit, ["a", "b"]]
+
+    side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, z: t + z)
+    shared = F.least(F.col("na") - only(F.col("bitsa"), F.col("bitsb")), F.col("nb") - only(F.col("bitsb"), F.col("bitsa")))
+    pairs = checkpointed(both.where(shared / (F.col("na") + F.col("nb") - shared) >= SIMILARITY - 1e-9).select("a", "b"))
+    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = checkpointed(classes.join(ids, "cls").select("cls", F.col("lead.doc_id").alias("_id"), F.col("lead.copy").alias("_copy")))
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
+    texts = texts.join(wanted, same).groupBy("cls").agg(F.first("text").alias("text"))
+    whole = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("one")), "a")
+    whole = whole.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("two")), "b")
+    return checkpointed(whole.mapInPandas(run, "a long, b long"))
+
+
+def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, root) for each of ``classes`` (cls, lead, n, bits): the least class reachable by links."""
+    group = Window.partitionBy("s")
+    met = _members(docs).withColumn("head", F.min(F.struct("cls", "n", "i")).over(group)).withColumn("last", F.max("cls").over(group))
+    met = checkpointed(met.where("head.cls < last").drop("last"))
+    # 1. every member with its group's least one
+    x = met.select(F.struct("cls", "n", "i").alias("x"), F.col("head").alias("y"))
+    stars = x.where((F.col("x.cls") != F.col("y.cls")) & _near()).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    first = checkpointed(components(_verified(stars, classes, docs)))
+    # 2. pairs of a group from different components
+    rooted = met.join(first, F.col("cls") == F.col("v"), "left").select("s", "cls", "n", "i", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo < hi")
+    cross = mixed.alias("x").join(mixed.alias("y"), "s").where((F.col("x.root") < F.col("y.root")) & _near())
+    edges = _verified(cross.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), classes, docs)
+    for k in ("a", "b"):
+        edges = edges.join(first, F.col(k) == F.col("v"), "left").withColumn(k, F.coalesce("root", k)).drop("v", "root")
+    second = components(edges)
+    whole = classes.select("cls").join(first, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("root", "cls").alias("r"))
+    return whole.join(second, F.col("r") == F.col("v"), "left").select("cls", F.coalesce("root", "r").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, copy, component_id and ``leads`` of each row of ``docs`` (doc_id, text), as in ``simhash``.
+
+    Texts link at a similarity of SIMILARITY or more and, by any path, form a component. Null, empty and blank texts have
+    equal, empty sets.
+    """
+    rows = checkpointed(_classed(docs))
+    lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy"))
+    classes = checkpointed(rows.groupBy("cls").agg(lead.alias("lead"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    linked = checkpointed(link_classes(classes, docs)).join(classes.select("cls", "lead"), "cls")
+    leaders = linked.groupBy("root").agg(F.min("lead").alias("lead"))
+    found = linked.select("cls", "root").join(leaders, "root").select("cls", "lead")
+    out = rows.select("doc_id", "copy", "cls").join(found, "cls")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("copy") == F.col("lead.copy"))
+    return out.select("doc_id", "copy", F.col("lead.doc_id").alias("component_id"), leads.alias("leads"))

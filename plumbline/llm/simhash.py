@@ -10,7 +10,7 @@ compared, so no group emits all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 from operator import and_
@@ -158,16 +158,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "copy", "fp", F.col("lead.doc_id").alias("component_id"), leads.alias("leads"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that lead their group of near-duplicates, one row a group."""
-    leaders = near_duplicates(docs.select("doc_id", "text")).where("leads").select(
-        F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")
-    ).distinct()
-    own = docs.withColumn("_copy", F.xxhash64("text"))
-    same = own["doc_id"].cast("long").eqNullSafe(leaders["_id"]) & (own["_copy"] == leaders["_copy"])
-    kept = own.join(leaders, same, "left_semi")
-    once = Window.partitionBy("doc_id", "_copy").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "_copy")
+def keep_one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs``, all columns, that lead their group of near-duplicates by ``groups``, one row a group."""
+    key = lambda x: (F.coalesce(x, F.lit(0)).alias("_id"), x.isNull().alias("_null"))
+    leaders = groups(docs.select("doc_id", "text")).where("leads").select(*key(F.col("doc_id")), F.col("copy").alias("_copy")).distinct()
+    own = docs.select("*", *key(F.col("doc_id").cast("long")), F.xxhash64("text").alias("_copy"))
+    # join and window share one exchange of the rows
+    names = ["_id", "_null", "_copy"]
+    kept = own.join(leaders, names, "left_semi")
+    once = Window.partitionBy(*names).orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", *names)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from plumbline.llm import crf, fingerprint, linededup, mixing, packing, rules, secrets, simhash, toxicity, urls
+import corpus_pipeline
+from plumbline.llm import crf, fingerprint, linededup, mixing, packing, rules, secrets, shingles, simhash, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, copy string, fp string, key string, line string"
 
@@ -382,6 +383,69 @@ def test_near_duplicates(docs, none, rows):
     assert simhash.near_duplicates(none).count() == simhash.keep_one_of_each(none).count() == 0
 
 
+def brute_jaccard(texts):
+    """The least text of each text's component of links of 0.8 or more between sets of five-word shingles."""
+    texts, sets = sorted(texts), {}
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[t] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {t: t for t in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {t: find(t) for t in texts}
+
+
+def edited_copies(seed):
+    """Chains and stars of copies with edited words, at similarities around the limit, and a passage that many share."""
+    rng, out = random.Random(seed), []
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = rng.choices(vocabulary, k=30)
+    for _ in range(20):
+        one = rng.choices(vocabulary, k=rng.randint(1, 150)) + passage * rng.randint(0, 1)
+        for _ in range(rng.randint(1, 8)):
+            out.append(" ".join(one))
+            two = list(one)
+            for _ in range(rng.randint(0, 1 + len(two) // 40)):
+                two[rng.randrange(len(two))] = rng.choice(vocabulary)
+            one = rng.choice([one, two])
+            out.append(" ".join(two))
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_shingle_links_by_brute_force(spark, docs, none, rows, seed, monkeypatch):
+    monkeypatch.setattr(shingles, "COMMON", (10, 2)[seed])
+    more = [(1000 + i, t) for i, t in enumerate(edited_copies(seed))] + [(r[0], r[1]) for r in rows]
+    frame = spark.createDataFrame(more, "doc_id long, text string").repartition(3)
+    root = brute_jaccard({t or "" for _, t in more})
+    ids = defaultdict(list)
+    for i, t in more:
+        ids[root[t or ""]].append(i)
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    out = shingles.near_duplicates(frame).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == Counter((i, least[root[t or ""]]) for i, t in more)
+    kept = simhash.keep_one_of_each(docs, shingles.near_duplicates)
+    assert kept.columns == docs.columns and kept.count() == len({brute_root for t, brute_root in brute_jaccard({r[1] or "" for r in rows}).items()})
+    assert shingles.near_duplicates(none).count() == 0
+
+
+def test_stage_takes_copies_with_edited_words(spark):
+    words = [f"w{i}" for i in range(200)]
+    other = ["x" if i % 60 == 30 else w for i, w in enumerate(words)]
+    a, b = " ".join(words), " ".join(other)
+    assert (simhash.simhash(a) ^ simhash.simhash(b)).bit_count() > simhash.BITS
+    docs = spark.createDataFrame([(2, b), (1, a), (3, "w1 w2")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 # secrets ----------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(secrets.BASE[0].head.replace("([Pp]", "(?:[Pp]", 1).replace("[A-Za-z0-9+/_.=-]", "([A-Za-z0-9+/_.=-]+)"))
