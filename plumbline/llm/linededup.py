@@ -2,15 +2,15 @@
 
 A gram is the least run of lines, from a given line on, with ``GRAM`` words. Of each ``WINDOW`` neighbouring grams the
 least hash is a fingerprint, and so is each line that is a gram by itself; hence every repeated run of 2 * GRAM words
-or more holds one. A fingerprint's first place in the corpus, by (doc_id, copy, line), is joined to its later places.
-A later place is deleted with the equal lines before and after it, up to the neighbouring later places of its text,
-which have matches of their own; so a text is compared in proportion to its length, however often its lines repeat.
+or more holds one. Texts that hold a repeated fingerprint are compared whole, by the least runs of ``GRAM`` words from
+each of their lines on and back from each: a run's later places, by (doc_id, copy, line), are deleted. Such runs cover any
+repeated run of GRAM words or more, whichever text it repeats and whatever else its lines repeat, without aligning texts.
 A deleted line equals an earlier one, and the first occurrence of a line always stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -67,51 +67,58 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     ).where("gram is not null")
 
 
+def spans(lines: DataFrame) -> DataFrame:
+    """(doc_id, copy, lo, hi, prev, gram): the least runs of GRAM words from each line on and back from each, as line numbers.
+
+    ``prev`` is the line with words before the run, if there is one.
+    """
+    n = F.size("words")
+
+    def reach(words: Column, i: Column) -> Column:
+        return F.aggregate(
+            F.slice(words, i + 1, GRAM),
+            F.struct(F.lit(0).alias("sum"), F.lit(0).alias("count")),
+            lambda a, w: F.when(a["sum"] >= GRAM, a).otherwise(F.struct((a["sum"] + w).alias("sum"), (a["count"] + 1).alias("count"))),
+            lambda a: F.when(a["sum"] >= GRAM, a["count"]).otherwise(0),
+        )
+
+    each = F.sequence(F.lit(0), n - 1)
+    both = lines.withColumn("back", F.reverse("words"))
+    on = F.transform(each, lambda i: F.struct(i.alias("i"), reach(F.col("words"), i).alias("k")))
+    back = F.transform(each, lambda i: F.struct(i.alias("i"), reach(F.col("back"), n - 1 - i).alias("k")))
+    both = both.withColumn("on", on).withColumn("to", F.transform(back, lambda x: F.struct((x["i"] - x["k"] + 1).alias("i"), x["k"].alias("k"))))
+    whole = F.array_distinct(F.filter(F.concat("on", "to"), lambda x: x["k"] > 0))
+    made = F.transform(
+        whole,
+        lambda x: F.struct(
+            F.get("at", x["i"]).alias("lo"), F.get("at", x["i"] + x["k"] - 1).alias("hi"), F.get("at", x["i"] - 1).alias("prev"),
+            F.xxhash64(F.slice("hash", x["i"] + 1, x["k"])).alias("gram"),
+        ),
+    )
+    return both.select("doc_id", "copy", F.explode(made).alias("x")).select("doc_id", "copy", "x.lo", "x.hi", "x.prev", "x.gram")
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, runs): of each text with later repeats, the (first, last) line numbers to delete."""
+    """(doc_id, copy, runs): of each text with later repeats, the disjoint (lo, hi) line numbers to delete, ascending."""
     lines = checkpointed(line_tables(docs).distinct())
-    marks = fingerprints(lines)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy", "line")
-    first = marks.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = marks.join(first.select("gram", "first"), "gram").where(place > F.col("first"))
-    seeds = later.select(
-        "doc_id", "copy", "line", (F.col("line") + F.col("size")).alias("end"), F.col("first.doc_id").alias("_id"),
-        F.col("first.copy").alias("_copy"), (F.col("line") - F.col("first.line")).alias("shift"),
-    )
-    # how far a seed may grow: to the seeds before and after it in its text
-    order = Window.partitionBy("doc_id", "copy").orderBy("line")
-    floor = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seeds = seeds.withColumn("floor", F.least(floor, F.col("line"))).withColumn("next", F.lead("line").over(order))
-    pairs = seeds.groupBy("doc_id", "copy", "_id", "_copy").agg(F.collect_list(F.struct("line", "end", "shift", "floor", "next")).alias("seeds"))
-    other = lines.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("hash").alias("other"))
-    both = pairs.join(other, F.col("_id").eqNullSafe(F.col("d")) & (F.col("_copy") == F.col("c"))).drop("d", "c", "_id", "_copy")
-    own = lines.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "at", "hash")
-    both = both.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))).drop("d", "c")
-
-    def common(mine: Column, theirs: Column) -> Column:
-        """How many of the first elements are equal."""
-        size = F.least(F.size(mine), F.size(theirs))
-        first = F.array_position(F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
-        return F.when(first > 0, (first - 1).cast("int")).otherwise(size)
-
-    def run(x: Column) -> Column:
-        shift, n = x["shift"], F.size("hash")
-        before = F.least(x["line"] - x["floor"], x["line"] - shift)
-        after = F.coalesce(x["next"], n) - x["end"]
-        back = F.when(
-            before > 0,
-            common(
-                F.reverse(F.slice("hash", x["line"] - before + 1, before)),
-                F.reverse(F.slice("other", x["line"] - shift - before + 1, before)),
-            ),
-        ).otherwise(0)
-        on = F.when(
-            after > 0, common(F.slice("hash", x["end"] + 1, after), F.slice("other", x["end"] - shift + 1, after))
-        ).otherwise(0)
-        return F.struct(F.get("at", x["line"] - back).alias("lo"), F.get("at", x["end"] + on - 1).alias("hi"))
-
-    found = both.select("doc_id", "copy", F.transform("seeds", run).alias("runs"))
-    return found.groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    marks = fingerprints(lines).select("doc_id", "copy", "gram")
+    again = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    texts = marks.join(again, "gram").select(F.col("doc_id").alias("d"), F.col("copy").alias("c")).distinct()
+    some = lines.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left_semi")
+    grams = spans(some)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy", "lo")
+    first = grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = grams.join(first.select("gram", "first"), "gram").where(place > F.col("first"))
+    found = later.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "prev"))).alias("runs"))
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<struct<lo:int,hi:int>>").alias("runs"))
+
+    def add(a: Column, x: Column) -> Column:
+        # blank lines between runs that meet go with them
+        lo = F.when((x["lo"] <= a["reach"]) | (x["prev"] <= a["reach"]), a["reach"] + 1).otherwise(x["lo"])
+        rest = F.struct(lo.alias("lo"), x["hi"].alias("hi"))
+        return F.when(x["hi"] <= a["reach"], a).otherwise(F.struct(x["hi"].alias("reach"), F.concat(a["runs"], F.array(rest)).alias("runs")))
+
+    return found.select("doc_id", "copy", F.aggregate("runs", start, add, lambda a: a["runs"]).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -524,3 +524,41 @@ def test_line_dedup_cases(spark):
     assert got[4] == f"{w('f', 9)}\n\n{w('g', 9)}"
     assert got[5] == w("h", 9)
     assert got[8] == ""
+
+
+def test_line_dedup_takes_whole_runs(spark):
+    """All lines of repeated runs of 50 words or more go, and only lines of runs of 25 or more, as by brute force."""
+    rng = random.Random(3)
+    new = lambda n: " ".join(f"n{rng.getrandbits(40)}" for _ in range(n))
+    hot, pool, rows = new(30), [new(rng.randint(1, 30)) for _ in range(12)], [(0, "")]
+    rows[0] = (0, f"{new(9)}\n{hot}\n{new(9)}")
+    for i in range(40):
+        passage = "\n".join([new(20), hot, new(20), new(4)])
+        rows += [(3 * i + k, f"{new(9)}\n{passage}\n{new(9)}") for k in (1, 2)]
+        rows.append((3 * i + 3, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))))
+    rows.append((999, "\n".join(["a b"] * 300)))
+    texts = {i: t.split("\n") for i, t in rows}
+    size = {x: len(x.split()) for t in texts.values() for x in t}
+    seen, least, most = set(), {}, {}
+    for i, t in sorted(texts.items()):
+        least[i], most[i] = set(), set()
+        for lo in range(len(t)):
+            words = 0
+            for hi in range(lo, len(t)):
+                words += size[t[hi]]
+                run = tuple(t[lo : hi + 1])
+                if words >= 25 and run in seen:
+                    most[i] |= set(range(lo, hi + 1))
+                    if words >= 50:
+                        least[i] |= set(range(lo, hi + 1))
+                seen.add(run)
+                if words >= 110:
+                    break
+    left = lambda t, gone: Counter(x for k, x in enumerate(t) if k not in gone)
+    for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = Counter((r.text or "").split("\n") if r.text else [])
+        assert left(texts[r.doc_id], most[r.doc_id]) <= got <= left(texts[r.doc_id], least[r.doc_id]), r.doc_id
+    blank = [(1, f"{hot}\n\n{new(60)}"), (2, "")]
+    blank[1] = (2, blank[0][1] + "\n\nend")
+    got = linededup.dedup_lines(spark.createDataFrame(blank, "doc_id long, text string")).where("doc_id = 2").first()
+    assert got.text == "\nend"
