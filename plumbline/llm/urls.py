@@ -3,7 +3,7 @@
 Hosts with pages that rules allow are trusted seeds, hosts with pages that they block are blocked seeds, each by their
 number of such pages. Trust is personalised PageRank from the trusted seeds along links between hosts; distrust is the
 same from the blocked seeds along reversed links, so a host that links to blocked ones is distrusted. A host is
-blocked if its distrust exceeds both its trust and a floor.
+blocked if its distrust exceeds both its trust and a floor, which is relative to the least seed's share.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING, ROUNDS = 0.85, 12
-#: Distrust below this share of all distrust doesn't block.
+#: Distrust below this part of the least blocked seed's share doesn't block.
 FLOOR = 1e-4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,8 +96,9 @@ def filter_urls(pages: DataFrame, links: DataFrame | None = None, rules: tuple[t
     distrust = page_rank(back, judged.where("v = 'block'").select("host", "n"))
     both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     ranks = checkpointed(both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
-    out = rows.join(ranks, "host", "left")
-    bad = F.coalesce((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= FLOOR), F.lit(False))
+    least = judged.where("v = 'block'").agg((F.min("n") / F.sum("n")).alias("least"))
+    out = rows.join(ranks, "host", "left").crossJoin(F.broadcast(least))
+    bad = F.coalesce((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= FLOOR * F.col("least")), F.lit(False))
     verdict = F.coalesce(F.col("_fit.verdict"), F.when(bad, "block").otherwise("allow"))
     return out.select(
         "page_id", "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"),
