@@ -21,7 +21,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DAMPING, ROUNDS = 0.85, 12
+#: Ranks are iterated until less than REST of their mass is on its way, which ROUNDS rounds always reach.
+DAMPING, ROUNDS, REST = 0.85, 128, 1e-9
 #: Distrust below this part of the least blocked seed's share doesn't block.
 FLOOR = 1e-4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +79,8 @@ def page_rank(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         ranks = ranks.unionByName(wave)
         if k % 4 == 0:
             ranks = checkpointed(ranks.groupBy("host").agg(F.sum("rank").alias("rank")))
+            if (wave.agg(F.sum("rank")).first()[0] or 0.0) < REST:
+                break
     return ranks.groupBy("host").agg(F.sum("rank").alias("rank"))
 
 

@@ -105,11 +105,14 @@ def test_ranks_follow_links(spark):
             assert r.verdict == ("block" if bad[r.host] > trust[r.host] and bad[r.host] >= urls.FLOOR else "allow")
 
 
-def test_floor_follows_seeds(spark):
+def test_floor_follows_seeds_and_ranks_converge(spark):
     seeds = [(i, f"http://b{i}.com/de/", "") for i in range(3000)]
     pages = [*seeds, (-1, "http://b7.com/x", ""), (-2, "http://c.net/x", "<a href='http://b7.com/'>")]
     out = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id < 0").collect()
     assert {r.page_id: r.verdict for r in out} == {-1: "block", -2: "block"}
+    chain = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(15)], "src string, dst string, n long")
+    ranks = {r.host: r["rank"] for r in urls.page_rank(chain, spark.createDataFrame([("h0", 1)], "host string, n long")).collect()}
+    assert ranks == pytest.approx({f"h{i}": 0.15 * 0.85**i for i in range(16)})
 
 
 # fingerprints -----------------------------------------------------------------------------------------------------
