@@ -52,6 +52,13 @@ class Optional:
     group: Group
 
 
+@dataclass(frozen=True)
+class Lateral:
+    """A group that is evaluated for each solution by itself."""
+
+    group: Group
+
+
 @dataclass(frozen=True)
 class Union:
     groups: tuple[Group, ...]
@@ -85,7 +92,7 @@ class Group:
 
 @dataclass(frozen=True)
 class Query:
-    """``select`` is None for ASK; an empty tuple of columns means all."""
+    """``select`` is None for ASK; ``star`` means all variables. CONSTRUCT has a template, DESCRIBE nodes and variables."""
 
     where: Group
     select: tuple[tuple[str, object], ...] | None = None
@@ -96,6 +103,8 @@ class Query:
     limit: int | None = None
     offset: int = 0
     star: bool = field(default=False)
+    construct: tuple[Triple, ...] | None = None
+    describe: tuple | None = None
 
 
 def walk(part):
@@ -104,7 +113,7 @@ def walk(part):
     inner: list = []
     if isinstance(part, Group):
         inner = list(part.parts)
-    elif isinstance(part, (Optional, InGraph, Minus, Service)):
+    elif isinstance(part, (Optional, InGraph, Lateral, Minus, Service)):
         inner = [part.group]
     elif isinstance(part, Union):
         inner = list(part.groups)
@@ -115,6 +124,7 @@ def walk(part):
     elif isinstance(part, Call):
         inner = list(part.args)
     elif isinstance(part, SubSelect):
-        inner = [part.query.where]
+        q = part.query
+        inner = [q.where, *(e for _, e in (*(q.select or ()), *q.group_by)), *q.having, *(e for e, _ in q.order_by)]
     for x in inner:
         yield from walk(x)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..graph import SHAPES_GRAPH
 from ..terms import TERM, iri, text_of
 from .ast import Bind, Minus, Service, SubSelect, Values, walk
-from .evaluate import Evaluator, col
+from .evaluate import Evaluator, Rows, col
 from .parser import QueryError, parse_query
 
 FORBIDDEN = (Minus, Service, Values)
@@ -64,12 +64,13 @@ def evaluate(k, shape, c, foci: DataFrame, vals: DataFrame) -> DataFrame:
         if strict:
             raise
         return foci.withColumn("value", F.expr(f"CAST(NULL AS {TERM})")).withColumn("message", F.lit(str(e)))
-    ev = Evaluator(k.dataset)
+    start = start.distinct()
+    ev = Evaluator(k.dataset, start, constants)
     if q.select is None:
-        found = ev.group(q.where, start, k.graph)
-        rows = ev.matching(start, found, "left_anti")
+        found = ev.group(q.where, Rows(start), k.graph)
+        rows = ev.matching(start, found.frame, "left_anti")
     else:
-        rows = ev.select(q, start.distinct())
+        rows = ev.select(q, Rows(start)).frame
     text = p["messages"][0] if p["messages"] else ""
     message = message_of(text, rows) if text else F.lit("violates a SPARQL constraint")
     has = set(rows.columns)

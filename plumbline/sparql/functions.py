@@ -74,6 +74,8 @@ class Expressions:
             return F.when(t, self.term(e.args[1])).when(~t, self.term(e.args[2]))
         if e.name.startswith(XSD):
             return self.cast(e)
+        if e.name == "bnode" and not e.args:
+            return make("bnode", F.replace(F.uuid(), F.lit("-"), F.lit("")))
         fn = VALUES.get(e.name)
         if fn is None:
             raise QueryError(f"unknown function: {e.name}")
@@ -192,6 +194,27 @@ def _after(a: Column, b: Column) -> Column:
     return text(F.when(at > 0, F.substr(a["lex"], at + F.length(b["lex"]))).otherwise(F.lit("")), a)
 
 
+ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def _is_time(a: Column) -> Column:
+    return (a["dt"] == XSD + "dateTime") & a["lex"].try_cast("timestamp").isNotNull()
+
+
+def _zone(a: Column) -> Column:
+    """A time's offset as a duration; an error where there is none."""
+    zone = F.regexp_extract(a["lex"], ZONE, 1)
+    hours, minutes = (F.substr(zone, F.lit(k), F.lit(2)).cast("int") for k in (2, 5))
+    parts = F.concat(
+        F.when(F.startswith(zone, F.lit("-")), "-").otherwise(""), F.lit("PT"),
+        F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""),
+        F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""),
+    )
+    zero = zone.isin("Z", "+00:00", "-00:00")
+    duration = F.when(_is_time(a) & zero, "PT0S").when(_is_time(a) & (zone != ""), parts)
+    return F.when(duration.isNotNull(), make("literal", duration, F.lit(XSD + "dayTimeDuration")))
+
+
 VALUES: dict[str, Callable] = {
     "str": lambda a: text(F.when(a["kind"] != "bnode", a["lex"])),
     "lang": lambda a: text(F.when(a["kind"] == "literal", a["lang"])),
@@ -219,9 +242,18 @@ VALUES: dict[str, Callable] = {
     "hours": _part(F.hour),
     "minutes": _part(F.minute),
     "seconds": _part(F.second),
+    "tz": lambda a: text(F.when(_is_time(a), F.regexp_extract(a["lex"], ZONE, 1))),
+    "timezone": lambda a: _zone(a),
+    "now": lambda: make("literal", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(XSD + "dateTime")),
+    "rand": lambda: number(F.rand(), DOUBLE),
+    "uuid": lambda: make("iri", F.concat(F.lit("urn:uuid:"), F.uuid())),
+    "struuid": lambda: text(F.uuid()),
+    "bnode": lambda a: make("bnode", F.concat(F.lit("b"), F.md5(a["lex"]))),
     "md5": lambda a: text(F.md5(a["lex"])),
     "sha1": lambda a: text(F.sha1(a["lex"])),
     "sha256": lambda a: text(F.sha2(a["lex"], 256)),
+    "sha384": lambda a: text(F.sha2(a["lex"], 384)),
+    "sha512": lambda a: text(F.sha2(a["lex"], 512)),
 }
 
 
