@@ -25,13 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Cut lineage through the shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; a cluster, whose hosts couldn't read that, an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all hosts share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint()
 
 
+def free(prefix: str, *frames: DataFrame) -> str:
+    """``prefix`` with as many underscores before it as make it begin no column of ``frames``, whatever the case."""
+    taken = [c.lower() for f in frames for c in f.columns]
+    while any(c.startswith(prefix.lower()) for c in taken):
+        prefix = "_" + prefix
+    return prefix
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
@@ -43,17 +57,23 @@ def labelled_sample(
     """Up to ``rows`` labelled documents outside fold ``held``, in a stable order, on the driver.
 
     The rows are those with the smallest hash of their id, so the sample doesn't depend on partitions. Rows with a
-    null id, text or label, or a label other than 0 and 1, are left out. ``rows`` bounds what reaches the driver.
+    null id, text or label, or a label other than 0 and 1, and ids with both labels are left out; of an id's texts the one
+    with the least hash counts. ``rows`` bounds what reaches the driver.
     """
     chosen = (
-        labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), mod) != held))
-        .orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", "label")
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"), F.max("label").alias("most"))
+        .where("label = most")
+        .orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
         .limit(rows)
     )
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(2 * rows).toPandas()
-    return got.sort_values(["doc_id", "label", "text"], kind="stable").reset_index(drop=True)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    both = texts.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    once = both.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    got = once.select("doc_id", "least.text", "label").toPandas()
+    return got.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
