@@ -10,7 +10,6 @@ Tails stay out of the combined automaton because runs of different rules would m
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -255,22 +254,39 @@ class Scanner:
         for r in rules:
             head, whole = _Nfa(), _Nfa()
             a, b = head.add(r.head)
-            self._back.append(_determinised(head.reversed(), [b], {a: 0}, False))
-            a, b = whole.add(r.head + r.tail)
-            self._whole.append(_determinised(whole, [a], {b: 0}, False))
+            self._back.append(self._anchored(head.reversed(), b, a))
+            self._whole.append(self._anchored(whole, *whole.add(r.head + r.tail)))
         self._hit = re.compile(rb"[^\x00]", re.DOTALL)
 
     @staticmethod
-    def _last(automaton, data: bytes, places: range) -> int | None:
-        """The last of ``places`` at which the automaton, started at the first, accepts."""
-        of_byte, rows, masks = automaton
-        state, best = 0, None
+    def _anchored(nfa: _Nfa, start: int, end: int) -> tuple:
+        """(class of each byte, rows, accepts, dead) of a minimised automaton that matches from its start on."""
+        of_byte, rows, masks = _determinised(nfa, [start], {end: 0}, False)
+        rows, masks = _minimised(rows, masks)
+        return of_byte, rows, masks, [not masks[s] and set(row) == {s} for s, row in enumerate(rows)]
+
+    @staticmethod
+    def _last(automaton, data: bytes, places: range, lost: set | None = None) -> int | None:
+        """The last of ``places`` at which the automaton, started at the first, accepts.
+
+        ``lost`` holds (place, state) from which earlier runs of the automaton came to no accept; a run that meets one
+        ends there and adds its own, so all runs together read a text at most once a state.
+        """
+        of_byte, rows, masks, dead = automaton
+        state, best, trail = 0, None, []
         for i in places:
             state = rows[state][of_byte[data[i]]]
             if masks[state]:
                 best = i
-            elif all(t == state for t in rows[state]):
+                trail.clear()
+            elif dead[state]:
                 break
+            elif lost is not None:
+                if (i, state) in lost:
+                    break
+                trail.append((i, state))
+        if lost is not None:
+            lost.update(trail)
         return best
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
@@ -280,10 +296,11 @@ class Scanner:
         data = text.encode("utf-8", "surrogatepass")
         marks = bytes(map(self._mark, accumulate(data.translate(self.of_byte), getitem, initial=self._linked[0])))
         found, floor = [], [0] * len(self.rules)
+        lost: list[set[tuple[int, int]]] = [set() for _ in self.rules]
         for m in self._hit.finditer(marks):
             for i in self.sets[marks[m.start()]]:
                 start = self._last(self._back[i], data, range(m.start() - 1, floor[i] - 1, -1))
-                last = None if start is None else self._last(self._whole[i], data, range(start, len(data)))
+                last = None if start is None else self._last(self._whole[i], data, range(start, len(data)), lost[i])
                 if last is None:
                     continue
                 floor[i] = end = last + 1
@@ -317,10 +334,6 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
-
-
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Counts and digests of the spans that ``scan_secrets`` finds in every document."""
     from .common import table
