@@ -1,26 +1,30 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and content-defined pieces of paragraphs.
 
-Leaves are hashes of short pieces, cut where the content says so; a paragraph's node hashes its leaves, a section's its
-paragraphs, and the root its sections. The fingerprint holds the root and the leaves in tree order, from which every
-inner node can be recomputed: equal roots tell equal texts, and where two trees differ the branches lead to the edits.
+Leaves are 64-bit hashes of short pieces, cut where the content says so. A paragraph's node hashes its leaves' hashes, a
+section's its paragraphs' nodes, and the root the sections' nodes. The fingerprint holds the root and, in tree order, each
+paragraph's node and a short mark of each leaf; sections' nodes follow from those of their paragraphs. Equal roots tell equal
+texts (but for collisions: 96 bits of SHA-256 at the root, 64 at a paragraph, and 64-bit leaves, so about one pair of
+leaves in 1.8e19), and where two trees differ only branches with different nodes are entered to locate the edits.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Characters of a leaf in a fingerprint; how far apart pieces end, at least and at most.
-LEAF, NEAR, MOST = 4, 6, 48
+#: Characters of a leaf's mark, of a paragraph's node and of a root; how far apart pieces end, at least and at most.
+LEAF, NODE, ROOT, NEAR, MOST = 4, 11, 16, 6, 48
 #: Rows that a task holds in Python at a time.
 ROWS = 128
 
@@ -28,15 +32,16 @@ _A, _B, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD
 _POWERS = np.cumprod(np.full(MOST, _B, np.uint64))
 
 
-def _node(children: str) -> str:
-    return hashlib.sha256(children.encode()).hexdigest()[:16]
+def _hash(data: bytes, size: int = 8) -> bytes:
+    return hashlib.sha256(data).digest()[:size]
 
 
-def _leaves(text: str) -> tuple[str, np.ndarray, np.ndarray]:
-    """Hashes of the pieces, LEAF characters each; each piece's end; the number of pieces up to each line end.
+def _leaves(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' hashes, and the number of pieces up to the end of each line.
 
-    A piece ends with each line, after at most MOST characters (few in a very short text), and where the hash of three characters is the least
-    of NEAR such hashes before it and after it; so pieces fall into step again after an edit.
+    A piece ends with each line, after at most MOST characters, and where the hash of three characters is the least
+    of NEAR such hashes before it and after it, all of one line; so pieces fall into step again after an edit, and a line
+    has the same pieces wherever it is. The end of a line is no part of its hash.
     """
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     local = (c + np.uint32(1)) * np.uint32(0x9E3779B1)
@@ -51,57 +56,140 @@ def _leaves(text: str) -> tuple[str, np.ndarray, np.ndarray]:
         least = np.minimum(least[:-3], least[3:])  # of NEAR = 6 neighbours
         m = len(c) - 2 * NEAR
         mid = local[NEAR : NEAR + m]
-        last[NEAR : NEAR + m] |= (mid < least[:m]) & (mid < least[NEAR + 1 : NEAR + 1 + m])
+        cut = (mid < least[:m]) & (mid < least[NEAR + 1 : NEAR + 1 + m])
+        cut[:2] = False  # the text's first line, too, has no pieces that end nearer to its start than other lines do
+        if line.any():
+            lines = np.concatenate([[0, 0, 0], np.cumsum(line)])
+            cut &= lines[2 * NEAR + 3 :][:m] == lines[:m]
+        last[NEAR : NEAR + m] |= cut
     last[-1] = True
     ends = np.flatnonzero(last)
     sizes = np.diff(ends, prepend=-1)
-    most = MOST if len(c) > 64 else 4 if len(c) > 16 else 2
-    if sizes.max() > most:
-        parts = -(-sizes // most)
+    if sizes.max() > MOST:
+        parts = -(-sizes // MOST)
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        ends = np.minimum(np.repeat(ends - sizes, parts) + (k + 1) * most, np.repeat(ends, parts))
+        ends = np.minimum(np.repeat(ends - sizes, parts) + (k + 1) * MOST, np.repeat(ends, parts))
         sizes = np.diff(ends, prepend=-1)
     starts = ends - sizes + 1
     place = np.arange(len(c)) - np.repeat(starts, sizes)
     mixed = (c ^ np.uint32(0xABCDEF)).astype(np.uint64) * _D
-    sums = np.add.reduceat((mixed ^ (mixed >> np.uint64(32))) * _POWERS[place], starts)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _POWERS[place]
+    mixed[line] = 0
+    sums = np.add.reduceat(mixed, starts)
     sums = (sums ^ (sums >> np.uint64(29))) * _A
+    return sums ^ (sums >> np.uint64(32)), np.searchsorted(ends, np.flatnonzero(line)) + 1
+
+
+def _marks(sums: np.ndarray) -> str:
     three = (sums >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
-    return base64.b64encode(three.tobytes()).decode(), ends, np.searchsorted(ends, np.flatnonzero(line)) + 1
+    return base64.b64encode(three.tobytes()).decode()
+
+
+def _shown(node: bytes) -> str:
+    return base64.b64encode(node).decode().rstrip("=")
+
+
+def _section(nodes: list[str]) -> bytes:
+    return _hash("".join(nodes).encode(), 32)
 
 
 def fingerprint(text: str | None) -> str:
     """``root:sections``; sections (ended by blank lines) are parted by ``;``, paragraphs (lines) by ``,``.
 
-    Null counts as the empty text, which has one section of one empty paragraph. The root hashes the nodes and the
-    text, as leaves are short hashes.
+    A paragraph is its node and its leaves' marks. Null counts as the empty text, which has one section of one paragraph
+    without leaves.
     """
     text = text or ""
-    whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    sums, lines = _leaves(text) if text else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    marks, data = _marks(sums), sums.tobytes()
     sections: list[list[str]] = [[]]
-    if text:
-        marks, _, lines = _leaves(text)
-        at = 0
-        for end in [*lines.tolist(), len(marks) // LEAF]:
-            sections[-1].append(part := marks[LEAF * at : LEAF * end])
-            at = end
-            if part == BLANK:
-                sections.append([])
-    root = _node(whole + "".join(_node("".join(map(_node, s))) for s in sections))
+    nodes: list[list[str]] = [[]]
+    at = 0
+    for end in [*lines.tolist(), len(sums)]:
+        own = data[8 * at : 8 * end]
+        nodes[-1].append(node := _shown(_hash(own)))
+        sections[-1].append(node + marks[LEAF * at : LEAF * end])
+        at = end
+        if own == BLANK:
+            sections.append([])
+            nodes.append([])
+    root = _shown(_hash(b"".join(map(_section, nodes)), ROOT * 6 // 8))
     return f"{root}:" + ";".join(",".join(s) for s in sections)
 
 
 #: The leaf of a line without characters.
-BLANK = _leaves("\n")[0]
+BLANK = _leaves("\n")[0].tobytes()
 
 
-def leaves(mark: str) -> np.ndarray:
-    """The leaves of a fingerprint as integers, in tree order."""
-    body = mark.split(":", 1)[1].translate({ord(";"): None, ord(","): None})
-    three = np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, 3).astype(np.int64)
+class Tree:
+    """A fingerprint read again: for each section its paragraphs as (node, marks), and the section's node."""
+
+    def __init__(self, mark: str) -> None:
+        self.root, body = mark.split(":", 1)
+        self.sections = [[(p[:NODE], p[NODE:]) for p in s.split(",")] for s in body.split(";")]
+        self.nodes = [_section([n for n, _ in s]) for s in self.sections]
+
+    def holds(self) -> bool:
+        """The root is that of the sections' nodes."""
+        return self.root == _shown(_hash(b"".join(self.nodes), ROOT * 6 // 8))
+
+
+def _integers(marks: str) -> np.ndarray:
+    three = np.frombuffer(base64.b64decode(marks), np.uint8).reshape(-1, 3).astype(np.int64)
     return (three[:, 0] << 16) | (three[:, 1] << 8) | three[:, 2]
 
 
+def leaves(mark: str) -> np.ndarray:
+    """The leaves' marks of a fingerprint as integers, in tree order."""
+    return _integers("".join(m for s in Tree(mark).sections for _, m in s))
+
+
+def aligned(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places of equal values, ascending in both: equal ends, and between them the longest such chain of pairs of
+    a value's n-th place in ``a`` with its n-th in ``b``."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    where: dict = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        where.setdefault(b[j], []).append(j)
+    some = [(i, where[a[i]].pop()) for i in range(head, len(a) - tail) if where.get(a[i])]
+    ends: list[int] = []  # least last place in b of a chain of each length, and which pair that is
+    which: list[int] = []
+    before = [-1] * len(some)
+    for k, (_, j) in enumerate(some):
+        at = bisect.bisect_left(ends, j)
+        before[k] = which[at - 1] if at else -1
+        ends[at : at + 1], which[at : at + 1] = [j], [k]
+    chain, k = [], which[-1] if which else -1
+    while k >= 0:
+        chain.append(some[k])
+        k = before[k]
+    ends_ = [(len(a) - 1 - k, len(b) - 1 - k) for k in range(tail - 1, -1, -1)]
+    return [(i, i) for i in range(head)] + chain[::-1] + ends_
+
+
+def differing(a: str, b: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(section, paragraph) of each paragraph of ``a`` that has no counterpart in ``b``, and the reverse.
+
+    Sections with equal nodes are passed over; paragraphs of the others are aligned in order by their nodes, so one
+    that is put in, taken out or changed doesn't move those after it.
+    """
+    x, y = Tree(a), Tree(b)
+    if x.root == y.root:
+        return [], []
+    same = aligned(x.nodes, y.nodes)
+    left = [(i, j) for i in sorted(set(range(len(x.nodes))) - {p for p, _ in same}) for j in range(len(x.sections[i]))]
+    right = [(i, j) for i in sorted(set(range(len(y.nodes))) - {q for _, q in same}) for j in range(len(y.sections[i]))]
+    node = lambda t, place: t.sections[place[0]][place[1]][0]
+    both = aligned([node(x, p) for p in left], [node(y, q) for q in right])
+    gone, come = {p for p, _ in both}, {q for _, q in both}
+    return [p for k, p in enumerate(left) if k not in gone], [q for k, q in enumerate(right) if k not in come]
+
+
 def _numbered(x: np.ndarray) -> np.ndarray:
     """Each value with its count so far, as one integer, so that sets of these are multisets of values."""
     x = np.sort(x)
@@ -110,29 +198,28 @@ def _numbered(x: np.ndarray) -> np.ndarray:
     return x << 32 | count
 
 
-def likeness(a: str, b: str) -> float:
-    """1 for equal roots; else the leaves that both trees hold, repeats counted, over those of the larger tree."""
-    if a[:16] == b[:16]:
-        return 1.0
-    x, y = leaves(a), leaves(b)
-    most = max(len(x), len(y))
-    if not most:
-        return 0.0
-    both = np.concatenate([_numbered(x), _numbered(y)])
+def compared(a: str, b: str) -> tuple[float, int, str | None]:
+    """Likeness, how many paragraphs of ``a`` have no counterpart in ``b``, and where the first of these is.
+
+    The likeness is 1 for equal roots; else the leaves of aligned branches, and of those that both trees hold in the
+    branches that differ, repeats counted, over the leaves of the larger tree. The place is ``section.paragraph``, from 0.
+    """
+    if a[:ROOT] == b[:ROOT]:
+        return 1.0, 0, None
+    x, y = Tree(a), Tree(b)
+    left, right = differing(a, b)
+    size = lambda t: sum(len(m) for s in t.sections for _, m in s) // LEAF
+    p, q = (_integers("".join(t.sections[i][j][1] for i, j in places)) for t, places in ((x, left), (y, right)))
+    both = np.concatenate([_numbered(p), _numbered(q)])
     both.sort()
-    return min(int((both[1:] == both[:-1]).sum()) / most, 1.0 - 1e-9)
+    shared = size(x) - len(p) + int((both[1:] == both[:-1]).sum())
+    most = max(size(x), size(y))
+    first = f"{left[0][0]}.{left[0][1]}" if left else None
+    return (min(shared / most, 1.0 - 1e-9) if most else 0.0), len(left), first
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of each branch of ``a`` whose node isn't that of ``b`` in the same place; extra ones too."""
-    if a[:16] == b[:16]:
-        return []
-    x, y = ([s.split(",") for s in m.split(":", 1)[1].split(";")] for m in (a, b))
-    out = []
-    for i in range(max(len(x), len(y))):
-        p, q = x[i] if i < len(x) else [], y[i] if i < len(y) else []
-        out += [(i, j) for j in range(max(len(p), len(q))) if p[j : j + 1] != q[j : j + 1]]
-    return out
+def likeness(a: str, b: str) -> float:
+    return compared(a, b)[0]
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -152,7 +239,7 @@ def with_next(docs: DataFrame, blocks: int, each=None, columns: str = "text stri
     """doc_id and what ``each`` makes of (text, next text) for each row: by default the two texts themselves.
 
     The text after a row's is that of the next row, and the first row's after the last.
-    Rows are ordered by doc_id (null first), then text; a null text is the empty text. Ids are cut into ``blocks``
+    Rows are ordered by doc_id (cast to long; null first), then text; a null text is the empty text. Ids are cut into ``blocks``
     ranges of about equal numbers of rows; each range is dealt, with the first row of the next range that has rows,
     to one task, which reads it in order. So no task sees all rows, a text moves once, and the driver sees one id a range.
     """
@@ -189,11 +276,15 @@ def with_next(docs: DataFrame, blocks: int, each=None, columns: str = "text stri
     return both.mapInArrow(run, f"doc_id bigint, {columns}")
 
 
-def _rank(value, cuts: list[int]):
-    """How many of the ascending ``cuts`` are at most ``value``, by a search in a constant array."""
+def _rank(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``: among every root-th of them first, then among those between."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value))
+    step = math.isqrt(len(cuts)) + 1
+    below = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    every = F.array(*map(F.lit, cuts[step - 1 :: step])) if len(cuts) >= step else F.array().cast("array<bigint>")
+    coarse = below(every) * step
+    return coarse + below(F.slice(F.array(*map(F.lit, cuts)), coarse + 1, step))
 
 
 def edited(text: str, other: str) -> str:
@@ -203,7 +294,10 @@ def edited(text: str, other: str) -> str:
 
 
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likenesses."""
+    """Fingerprints of every document and of its edited text, their likenesses, and where the edit begins by the trees.
+
+    ``edited_branches`` paragraphs of the document aren't in the edited text, the first of them ``first_edit``.
+    """
     docs = table(spark, sf_dir, "documents")
     last = (None, "")
 
@@ -215,11 +309,12 @@ def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
         last = (other, after)
         half = fingerprint(changed)
         sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return len(text), sha, mark, half, likeness(mark, half), likeness(mark, after)
+        near, branches, first = compared(mark, half)
+        return len(text), sha, mark, half, near, likeness(mark, after), branches, first
 
     return with_next(
         docs,
         4 * int(spark.conf.get("spark.sql.shuffle.partitions")),
         each,
-        "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_branches bigint, first_edit string",
     )

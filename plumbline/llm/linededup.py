@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, free, table
 
 GRAM, WINDOW = 25, 2
 
@@ -121,28 +121,33 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "copy", F.aggregate("runs", start, add, lambda a: a["runs"]).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with later repeated runs of lines deleted from ``text``, and ``_removed``.
+def dedup_lines(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
+    """The rows of ``docs``, all columns, with later repeated runs of lines deleted from ``text``, and column ``removed``.
 
-    ``_removed`` counts deleted lines. Blank lines inside a deleted run go with it. A null text stays null. Rows that
-    repeat a doc_id and text are one document: they neither repeat each other nor differ in what they lose.
+    It counts deleted lines and takes the place of a column of that name. Blank lines inside a deleted run go with it. A
+    null text stays null. Rows that repeat a doc_id and text are one document: they neither repeat each other nor differ
+    in what they lose. ``doc_id`` is cast to long.
     """
-    runs = repeated_runs(docs).withColumnsRenamed({"doc_id": "_id", "copy": "_copy", "runs": "_runs"})
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    same = own["doc_id"].cast("long").eqNullSafe(runs["_id"]) & (own["_own"] == runs["_copy"])
+    c = free("k_", docs)
+    runs = repeated_runs(docs.select("doc_id", "text")).select(
+        F.col("doc_id").alias(f"{c}id"), F.col("copy").alias(f"{c}copy"), F.col("runs").alias(f"{c}runs")
+    )
+    own = docs.withColumn(f"{c}own", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{c}id")) & (F.col(f"{c}own") == F.col(f"{c}copy"))
     both = own.join(runs, same, "left")
     lines = _lines(F.col("text"))
-    gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["lo"], r["hi"]))))
+    gone = F.array_distinct(F.flatten(F.transform(f"{c}runs", lambda r: F.sequence(r["lo"], r["hi"]))))
     at = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.transform(F.array_except(at, gone), lambda i: F.get(lines, i))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("_runs").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
-    out = both.withColumn("_removed", removed.cast("int"))
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), "_removed")
+    some = F.col(f"{c}runs").isNotNull()
+    text = F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text").cast("string"))
+    count = F.when(some, F.size(lines) - F.size(kept)).otherwise(0).cast("int")
+    own_columns = [x for x in docs.columns if x.lower() != removed.lower()]
+    return both.select(*(text.alias("text") if x == "text" else F.col(f"`{x}`") for x in own_columns), count.alias(removed))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without its later repeated runs of lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
-    return out.select("doc_id", F.col("_removed").alias("n_removed"), "text")
+    return out.select("doc_id", "n_removed", "text")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, free, table
 
 #: The weights of the sources in order, repeating; the most times that a source may be taken.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -93,17 +93,27 @@ def mixed(docs: DataFrame, seed: int = 5) -> DataFrame:
 
 
 def repeated_to_targets(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    found = mixed(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("copy").alias("_copy"), "epochs")
-    # equal rows may be taken unequally: the least number for all of them, and the rest for as many as it takes
-    found = found.groupBy("_id", "_src", "_copy").agg(F.sum("epochs").alias("_times"), F.count("*").alias("_rows"))
-    own = docs.withColumn("_c", F.xxhash64("text"))
-    same = own["doc_id"].eqNullSafe(found["_id"]) & own["source"].eqNullSafe(found["_src"]) & (own["_c"] == found["_copy"])
-    once = Window.partitionBy("_id", "_src", "_copy").orderBy(F.lit(0))
-    rows = own.join(found, same).withColumn("_n", F.row_number().over(once))
-    times = F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
-    copies = F.explode(F.sequence(F.lit(1), times.cast("int")))
-    return rows.where(times > 0).withColumn("_k", copies).select(*docs.columns)
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows with equal doc_id, source and text count as equal; what is left of an epoch repeats the columns of any of them.
+    """
+    c = free("k_", docs)
+    id_, source, copy, own_copy, times, rows = (c + x for x in ("id", "source", "copy", "own", "times", "rows"))
+    found = mixed(docs.select("doc_id", "text", "source"))
+    found = found.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("copy").alias(copy), "epochs")
+    # equal rows may be taken unequally: the least number for all of them, and one more for as many as it takes
+    found = found.groupBy(id_, source, copy).agg(F.sum("epochs").alias(times), F.count("*").alias(rows))
+    own = docs.withColumn(own_copy, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own_copy) == F.col(copy))
+    both = own.join(found, same)
+    number = lambda x: F.explode(F.sequence(F.lit(1), x.cast("int")))
+    even = both.where(F.col(times) >= F.col(rows)).withColumn(c + "k", number(F.floor(F.col(times) / F.col(rows))))
+    # equal rows of which some are taken once more are combined, then made anew; a key's rows are never numbered
+    uneven = both.where(F.col(times) % F.col(rows) > 0).groupBy(id_, source, copy).agg(
+        F.first(F.struct(*(F.col(f"`{x}`") for x in docs.columns))).alias(c + "row"), F.first(F.col(times) % F.col(rows)).alias(times)
+    )
+    more = uneven.withColumn(c + "k", number(F.col(times))).select(*(F.col(f"{c}row.`{x}`") for x in docs.columns))
+    return even.select(*(F.col(f"`{x}`") for x in docs.columns)).unionByName(more)
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from .common import checkpointed, table
 SIZE, END = 2048, 0
 #: A length above SIZE / SMALL is large; large lengths form GROUPS groups.
 SMALL, GROUPS = 3, 64
-#: Ranks of pieces are counted in so many parts of each length, so that no length is numbered in one task.
-PARTS = 64
+#: Pieces of a length are numbered in parts of about PART of all pieces' number, so that no length is numbered in one task.
+PART = 50_000
 CACHE = 300_000
 
 #: Fixed pattern: how the tokenizer's own rule splits texts of the characters in PLAIN.
@@ -69,7 +70,7 @@ class Encoder(dict):
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each row's pieces: its ids and END, cut at ``size``.
 
-    The first piece takes the remainder, so all later ones are full. Null counts as the empty text: one piece of END.
+    The first piece takes the remainder, so all later ones are full. Null counts as the empty text: one piece of END. ``doc_id`` is cast to long.
     """
     path = path or tokenizer_path()
 
@@ -92,8 +93,12 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     return slim.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _simplex(patterns: list[list[int]], demand: np.ndarray, sizes: list[int], room: int, rounds: int = 150) -> np.ndarray:
-    """Column generation from single-size patterns, which it replaces: how often to use each (a relaxation's solution)."""
+def _simplex(patterns: list[list[int]], demand: np.ndarray, sizes: list[int], room: int, rounds: int = 2000) -> np.ndarray:
+    """Column generation from single-size patterns, which it replaces: how often to use each (a relaxation's solution).
+
+    It ends when no pattern would help. ``rounds`` only guards against cycling; a solution that it cuts short is still
+    one, of more sequences than need be, and a warning says so.
+    """
     basis, lengths = np.array(patterns, float).T, np.array(sizes)
     for _ in range(rounds):
         inverse = np.linalg.inv(basis)
@@ -115,6 +120,8 @@ def _simplex(patterns: list[list[int]], demand: np.ndarray, sizes: list[int], ro
         step, level = inverse @ column, inverse @ demand
         ratio = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = column
+    else:
+        warnings.warn(f"column generation ended after {rounds} rounds, short of the optimum", stacklevel=3)
     patterns[:] = [[int(round(x)) for x in col] for col in basis.T]
     return np.maximum(np.linalg.solve(basis, demand), 0)
 
@@ -230,42 +237,53 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, li
 
 
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Adds ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32).
+
+    A full piece is a sequence by itself and gets a negative id; the others' ids count from 0. Equal rows are told apart
+    by number only.
+    """
     spark = parts.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    parts = checkpointed(parts.withColumn("part", part))
-    counts = parts.groupBy("length", "part").count().collect()  # at most size * PARTS rows
-    table_ = np.zeros((size + 1, PARTS), np.int64)
-    for length, k, n in counts:
-        table_[length, k] = n
-    runs = plan({k: int(n) for k, n in enumerate(table_.sum(1)) if n}, size)
+    parts = checkpointed(parts)
+    histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most size rows
+    full = parts.where(F.col("length") == size)
+    full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    histogram.pop(size, None)
+    n = 1 + sum(histogram.values()) // PART
     by_length: dict[int, list[tuple[int, int, int]]] = {}
-    for first, _, places in runs:
+    for first, _, places in plan(histogram, size):
         at = 0
         for length, rank in places:
             by_length.setdefault(length, []).append((rank, first, at))
             at += length
     slots = {k: np.array(sorted(v), np.int64) for k, v in by_length.items()}
-    before = np.cumsum(table_, axis=1) - table_
-    shared = spark.sparkContext.broadcast((slots, before))  # bounded by the lengths' runs, not by the input
+    shared = spark.sparkContext.broadcast(slots)  # bounded by the lengths' runs, not by the input
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int")
+    rest = parts.where(F.col("length") < size).withColumn("part", part)
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = parts.withColumn("rank", F.row_number().over(order) - 1)
+    ranked = rest.withColumn("rank", F.row_number().over(order) - 1)
+    if n > 1:  # what earlier parts of a length hold
+        counts = rest.groupBy("length", "part").count()
+        earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.select("length", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+        ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, before = shared.value
+        slots = shared.value
         for b in batches:
-            rank = b["rank"].to_numpy() + before[b["length"], b["part"]]
+            rank = b["rank"].to_numpy()
             sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
             for length, at in b.groupby("length").indices.items():
                 s = slots[length]
                 k = np.searchsorted(s[:, 0], rank[at], "right") - 1
                 sequence[at], offset[at] = s[k, 1] + rank[at] - s[k, 0], s[k, 2]
-            yield b.drop(columns=["part", "rank"]).assign(sequence_id=sequence, offset=offset)
+            yield b.drop(columns=["rank"]).assign(sequence_id=sequence, offset=offset)
 
-    return ranked.mapInPandas(
+    placed = ranked.mapInPandas(
         run,
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )
+    return full.unionByName(placed)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

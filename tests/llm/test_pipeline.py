@@ -7,11 +7,11 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import crf, packing, simhash
+from plumbline.llm import crf, packing
 from plumbline.llm.common import labelled_sample
 from plumbline.llm.registry import QUERIES
 
-from .test_operators import brute_components, fill
+from .test_operators import brute_jaccard, fill
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -57,10 +57,10 @@ def test_stages(spark, tables):
     assert lines(after.values()) == lines(before.values())
 
     kept = stages["near_duplicates"](spark, kept, tables).cache()
-    root = brute_components({simhash.simhash(t) for t in after.values()})
+    root = brute_jaccard({t or "" for t in after.values()})
     leads = {}
     for i, t in sorted(after.items()):
-        leads.setdefault(root[simhash.simhash(t)], i)
+        leads.setdefault(root[t or ""], i)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(leads.values())
 
     sizes, largest = Counter(), Counter()
