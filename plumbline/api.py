@@ -16,22 +16,24 @@ from .report import Report
 from .sources.readers import BASE, ParseError, quads_of, read_graph, read_triples
 
 
-def validate(graph: Graph | Dataset, shapes: Iterable[Shape], mode: Mode = STRICT) -> Report:
-    """The report of ``shapes`` over ``graph``: one plan, in which equal targets are resolved once."""
+def validate(graph: Graph | Dataset, shapes: Iterable[Shape], mode: Mode = STRICT, details: bool = False) -> Report:
+    """The report of ``shapes`` over ``graph``: one plan, in which equal targets share theirs, though a scan may be read for
+    each. ``details`` keeps the results of the shapes inside sh:node, sh:and, sh:or and sh:xone as well."""
     dataset = graph if isinstance(graph, Dataset) else Dataset(graph)
     compiler = Compiler(dataset, mode)
+    compiler.details = [] if details else None
     found: list[DataFrame] = [compiler.validate(s) for s in shapes]
-    return Report(reduce(DataFrame.unionByName, found) if found else compiler.none())
+    return Report(reduce(DataFrame.unionByName, found) if found else compiler.none(), compiler.details or ())
 
 
 def validate_shape(graph: Graph, shape: Shape, mode: Mode = STRICT) -> Report:
     return validate(graph, [shape], mode)
 
 
-def validate_triples(graph: Graph, shapes: Iterable[Triple], mode: Mode = STRICT) -> Report:
+def validate_triples(graph: Graph, shapes: Iterable[Triple], mode: Mode = STRICT, details: bool = False) -> Report:
     """The report of a parsed shapes graph, which SPARQL constraints can then name."""
     shapes = list(shapes)
-    return validate(Dataset(graph, shapes), parse_shapes(shapes, mode), mode)
+    return validate(Dataset(graph, shapes), parse_shapes(shapes, mode), mode, details)
 
 
 def validate_graphs(

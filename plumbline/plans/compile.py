@@ -26,7 +26,7 @@ from .mode import STRICT, Mode
 
 RESULT = (
     f"root {TERM}, focus {TERM}, path string, value {TERM}, component string, detail string, messages array<string>, "
-    "shape string, name string, severity string, trace array<string>"
+    "shape string, name string, severity string, trace array<string>, source string"
 )
 NO_TERM = f"CAST(NULL AS {TERM})"
 
@@ -48,6 +48,8 @@ class Compiler:
         self.targets = Targets(self.graph, mode.literal_objects)
         self._number, self._depth = count(), 0
         self._below: dict[tuple[str, str], list[str]] = {}
+        #: (shape, component, result rows of an inner shape, whose roots are the values that were asked about)
+        self.details: list[tuple[str, str, DataFrame]] | None = None
 
     # shapes ---------------------------------------------------------------------------------------------------
 
@@ -61,10 +63,11 @@ class Compiler:
     def none(self) -> DataFrame:
         return self.spark.createDataFrame([], RESULT)
 
-    def failing(self, shape: Shape, nodes: DataFrame, narrowed: bool = False) -> DataFrame:
+    def failing(self, shape: Shape, nodes: DataFrame, narrowed: bool = False, outer: tuple[Shape, Constraint] | None = None) -> DataFrame:
         """(value): the distinct nodes of ``nodes`` (value) that don't conform to ``shape``.
 
-        ``narrowed`` tells that ``nodes`` is itself the outcome of other shapes.
+        ``narrowed`` tells that ``nodes`` is itself the outcome of other shapes. The results of ``shape`` are details of
+        those of the shape and constraint ``outer``.
         """
         if shape.deactivated and self.mode.deactivated_everywhere:
             return nodes.where("false")
@@ -74,6 +77,8 @@ class Compiler:
                 # each constraint inside reads the nodes again; without a cut, plans would grow with the power of the depth
                 nodes = cut(nodes)
             found = self.results(shape, nodes.select(F.col("value").alias("focus")))
+            if self.details is not None and outer is not None:
+                self.details.append((str(outer[0].node), outer[1].component, found))
             return found.select(F.col("root").alias("value")).distinct()
         finally:
             self._depth -= 1
@@ -158,6 +163,7 @@ class Compiler:
             F.lit(shape.name).alias("name"),
             F.lit(shape.severity).alias("severity"),
             (F.col("trace") if "trace" in has else F.array().cast("array<string>")).alias("trace"),
+            F.lit(None if c is None or c.params.get("custom") or "source" not in c.params else str(c.params["source"])).cast("string").alias("source"),
         )
 
     # one value at a time ----------------------------------------------------------------------------------------
@@ -404,7 +410,7 @@ def _less(name: str, op: str):
     def test(k, shape, c, foci, vals, home=None):
         names = ids(foci)
         one = [k.graph.column_of(home, p.iri) if home is not None and isinstance(p, Predicate) else None for p in (shape.path, c.params[name])]
-        if None not in one:
+        if all(x is not None for x in one):
             # two columns of a row
             both = home.frame.select(home.subject.term().alias("focus"), one[0].alias("value"), one[1].alias("other"))
             both = both.where("value.lex is not null and other.lex is not null")
@@ -422,13 +428,13 @@ def _less(name: str, op: str):
     return test
 
 
-def _failing_values(k: Compiler, vals: DataFrame, shapes: list[Shape], keep) -> DataFrame:
+def _failing_values(k: Compiler, vals: DataFrame, shapes: list[Shape], keep, outer=None) -> DataFrame:
     """Rows of ``vals`` for which ``keep`` holds of the number of shapes to which the value conforms.
 
     The distinct values are asked once a shape; a shape listed twice counts twice.
     """
     nodes = vals.select("value").distinct()
-    bad = [k.failing(s, nodes).select("value") for s in shapes]
+    bad = [k.failing(s, nodes, outer=outer).select("value") for s in shapes]
     counts = reduce(DataFrame.unionByName, bad).groupBy("value").agg(F.count("*").alias("_bad"))
     b = counts.withColumnRenamed("value", "_v")
     rows = vals.join(b, same(F.col("value"), F.col("_v")), "left").drop("_v")
@@ -441,7 +447,7 @@ def _traced(rows: DataFrame, what: str, message: str) -> DataFrame:
 
 def _node(k, shape, c, foci, vals, home=None):
     inner: Shape = c.params["node"]
-    out = _failing_values(k, vals, [inner], lambda n: n == 0)
+    out = _failing_values(k, vals, [inner], lambda n: n == 0, (shape, c))
     if not k.mode.siblings_disjoint_only:
         out = out.unionByName(vals.where("value.kind = 'literal'")).distinct()
     return out.withColumn("message", F.lit(f"doesn't conform to {inner.node}"))
@@ -449,20 +455,20 @@ def _node(k, shape, c, foci, vals, home=None):
 
 def _and(k, shape, c, foci, vals, home=None):
     some = c.params["and"]
-    return _traced(_failing_values(k, vals, some, lambda n: n < len(some)), "sh:and validation", "doesn't conform to all shapes")
+    return _traced(_failing_values(k, vals, some, lambda n: n < len(some), (shape, c)), "sh:and validation", "doesn't conform to all shapes")
 
 
 def _or(k, shape, c, foci, vals, home=None):
     """Successive narrowing: a shape is asked only about values that failed all shapes before it."""
     nodes = vals.select("value").distinct()
     for i, s in enumerate(c.params["or"]):
-        nodes = k.failing(s, nodes, narrowed=i > 1)
+        nodes = k.failing(s, nodes, narrowed=i > 1, outer=(shape, c))
     n = nodes.select(F.col("value").alias("_v"))
     return _traced(vals.join(n, same(F.col("value"), F.col("_v")), "left_semi"), "sh:or validation", "conforms to none of the shapes")
 
 
 def _xone(k, shape, c, foci, vals, home=None):
-    return _traced(_failing_values(k, vals, c.params["xone"], lambda n: n != 1), "sh:xone validation", "doesn't conform to exactly one shape")
+    return _traced(_failing_values(k, vals, c.params["xone"], lambda n: n != 1, (shape, c)), "sh:xone validation", "doesn't conform to exactly one shape")
 
 
 def _not(k, shape, c, foci, vals, home=None):

@@ -79,15 +79,25 @@ class ShapesGraph:
             head = rest
         return out
 
-    def superclasses(self, c: Term) -> set[Term]:
-        found, todo = {c}, [c]
+    def above(self, start: Term, p: str) -> set[Term]:
+        """``start`` and all that it leads to by ``p``, however far and in circles too."""
+        found, todo = {start}, [start]
         while todo:
-            for x in self.all(todo.pop(), RDFS + "subClassOf"):
+            for x in self.all(todo.pop(), p):
                 if x not in found:
                     found.add(x)
                     todo.append(x)
         return found
 
+    def superclasses(self, c: Term) -> set[Term]:
+        return self.above(c, RDFS + "subClassOf")
+
+    def superproperties(self, p: Term) -> set[Term]:
+        return self.above(p, RDFS + "subPropertyOf")
+
+    def is_subclass_of(self, c: Term, other: Term) -> bool:
+        return other in self.superclasses(c)
+
     # paths ------------------------------------------------------------------------------------------------------
 
     def path(self, t: Term, depth: int = 0) -> Path:

@@ -106,10 +106,8 @@ def mapped(spark: SparkSession, sf_dir: str, *names: str, extra=()) -> MappedGra
 
 
 def lineitem(frame: DataFrame) -> Mapping:
-    """Line items have no key. A row's subject is a hash of all its columns, which tells different rows apart.
-
-    A row id would change when a task is run again. Rows are taken to be distinct.
-    """
+    """Line items have no key. A row's subject is a hash of all its columns, which tells different rows apart; equal rows
+    are one node, so they are combined first. A row id would change when a task is run again."""
     row = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.hex(F.xxhash64(*frame.columns)))
     preds = {
         "order": node("order", "l_orderkey"),
@@ -119,7 +117,7 @@ def lineitem(frame: DataFrame) -> Mapping:
         "returnflag": Literal("l_returnflag"),
         "shipdate": Literal("l_shipdate", TIME),
     }
-    return Mapping(frame.withColumn("_row", row), node("lineitem", "_row"), ex("Lineitem"), {ex(p): o for p, o in preds.items()})
+    return Mapping(frame.withColumn("_row", row).dropDuplicates(["_row"]), node("lineitem", "_row"), ex("Lineitem"), {ex(p): o for p, o in preds.items()})
 
 
 def conversations(frame: DataFrame) -> Mapping:
@@ -207,24 +205,34 @@ add(
     sql("(SELECT o_orderkey, coalesce(c, 0) c FROM orders LEFT JOIN (SELECT l_orderkey, count(*) c FROM (SELECT DISTINCT * FROM lineitem) WHERE l_quantity > 40 AND l_returnflag <> 'R' GROUP BY 1) ON l_orderkey = o_orderkey) WHERE c < 2", n("order", "o_orderkey"), None, "QualifiedMinCount"),
 )
 # one value at a time -----------------------------------------------------------------------------------------------
+def typed(column: str, dt: str) -> str:
+    """A typed literal's text in SQL."""
+    return f"concat('\"', {column}, '\"^^<{dt}>')"
+
+
+def quoted(column: str) -> str:
+    """A string's text in SQL, escaped as N-Triples has it."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for c, e in (("'\"'", '\\"'), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")):
+        out = f"replace({out}, {c}, '{e}')"
+    return f"concat('\"', {out}, '\"')"
+
+
+SAID = f"concat({quoted('text')}, '@', lower(lang))"
 VALUE_LOCAL = [
-    ("min_inclusive", "customer", "Customer", "ex:acctbal", "sh:minInclusive 0.0", "customer WHERE NOT c_acctbal >= 0", n("customer", "c_custkey"), "MinInclusive"),
-    ("min_exclusive", "part", "Part", "ex:size", "sh:minExclusive 1", "part WHERE NOT p_size > 1", n("part", "p_partkey"), "MinExclusive"),
-    ("max_inclusive", "orders", "Order", "ex:totalprice", "sh:maxInclusive 400000.0", "orders WHERE NOT o_totalprice <= 400000", n("order", "o_orderkey"), "MaxInclusive"),
-    ("max_exclusive", "orders", "Order", "ex:totalprice", "sh:maxExclusive 50000", "orders WHERE NOT o_totalprice < 50000", n("order", "o_orderkey"), "MaxExclusive"),
-    ("in_role", "conversations", "Turn", "ex:role", 'sh:in ( "user" "assistant" )', "conversations WHERE role NOT IN ('user', 'assistant')", n("turn", "conv_id, '-', turn"), "In"),
-    ("pattern", "pages", "Page", "ex:url", 'sh:pattern "^https://"', "pages WHERE NOT regexp_matches(url, '^https://')", n("page", "page_id"), "Pattern"),
-    ("pattern_flags", "part", "Part", "ex:p_name", 'sh:pattern "RING" ; sh:flags "i"', "part WHERE NOT regexp_matches(p_name, '(?i)RING')", n("part", "p_partkey"), "Pattern"),
-    ("min_length", "documents", "Document", "ex:text", "sh:minLength 100", "documents WHERE length(text) < 100", n("document", "doc_id"), "MinLength"),
-    ("max_length", "documents", "Document", "ex:text", "sh:maxLength 5000", "documents WHERE length(text) > 5000", n("document", "doc_id"), "MaxLength"),
-    ("language_in", "documents", "Document", "ex:text", 'sh:languageIn ( "en" "fr" )', "documents WHERE lower(lang) NOT IN ('en', 'fr')", n("document", "doc_id"), "LanguageIn"),
+    ("min_inclusive", "customer", "Customer", "ex:acctbal", "sh:minInclusive 0.0", "customer WHERE NOT c_acctbal >= 0", n("customer", "c_custkey"), typed("c_acctbal", DOUBLE), "MinInclusive"),
+    ("min_exclusive", "part", "Part", "ex:size", "sh:minExclusive 1", "part WHERE NOT p_size > 1", n("part", "p_partkey"), typed("p_size", INT), "MinExclusive"),
+    ("max_inclusive", "orders", "Order", "ex:totalprice", "sh:maxInclusive 400000.0", "orders WHERE NOT o_totalprice <= 400000", n("order", "o_orderkey"), typed("o_totalprice", DOUBLE), "MaxInclusive"),
+    ("max_exclusive", "orders", "Order", "ex:totalprice", "sh:maxExclusive 50000", "orders WHERE NOT o_totalprice < 50000", n("order", "o_orderkey"), typed("o_totalprice", DOUBLE), "MaxExclusive"),
+    ("in_role", "conversations", "Turn", "ex:role", 'sh:in ( "user" "assistant" )', "conversations WHERE role NOT IN ('user', 'assistant')", n("turn", "conv_id, '-', turn"), quoted("role"), "In"),
+    ("pattern", "pages", "Page", "ex:url", 'sh:pattern "^https://"', "pages WHERE NOT regexp_matches(url, '^https://')", n("page", "page_id"), quoted("url"), "Pattern"),
+    ("pattern_flags", "part", "Part", "ex:p_name", 'sh:pattern "RING" ; sh:flags "i"', "part WHERE NOT regexp_matches(p_name, '(?i)RING')", n("part", "p_partkey"), quoted("p_name"), "Pattern"),
+    ("min_length", "documents", "Document", "ex:text", "sh:minLength 100", "documents WHERE length(text) < 100", n("document", "doc_id"), SAID, "MinLength"),
+    ("max_length", "documents", "Document", "ex:text", "sh:maxLength 5000", "documents WHERE length(text) > 5000", n("document", "doc_id"), SAID, "MaxLength"),
+    ("language_in", "documents", "Document", "ex:text", 'sh:languageIn ( "en" "fr" )', "documents WHERE lower(lang) NOT IN ('en', 'fr')", n("document", "doc_id"), SAID, "LanguageIn"),
 ]
-for name, tables, cls, path, test, body, focus, component in VALUE_LOCAL:
-    add(
-        name,
-        focus_only(run(tables, f"{shape} sh:targetClass ex:{cls} ; sh:property [ sh:path {path} ; {test} ] .")),
-        focus_sql(body, focus, component),
-    )
+for name, tables, cls, path, test, body, focus, value, component in VALUE_LOCAL:
+    add(name, run(tables, f"{shape} sh:targetClass ex:{cls} ; sh:property [ sh:path {path} ; {test} ] ."), sql(body, focus, value, component))
 MIXED = "sh:targetClass ex:Order ; sh:property [ sh:path [ sh:alternativePath ( ex:status ex:customer ) ] ; "
 add(
     "datatype",
@@ -238,8 +246,8 @@ add(
 )
 add(
     "fused_value_tests",
-    focus_only(run("orders", shape + "sh:targetClass ex:Order ; sh:property [ sh:path ex:totalprice ; sh:minInclusive 1000.0 ; sh:maxInclusive 400000.0 ; sh:datatype xsd:double ] .")),
-    focus_sql("orders WHERE o_totalprice > 400000", n("order", "o_orderkey"), "MaxInclusive") + " UNION ALL " + focus_sql("orders WHERE o_totalprice < 1000", n("order", "o_orderkey"), "MinInclusive"),
+    run("orders", shape + "sh:targetClass ex:Order ; sh:property [ sh:path ex:totalprice ; sh:minInclusive 1000.0 ; sh:maxInclusive 400000.0 ; sh:datatype xsd:double ] ."),
+    sql("orders WHERE o_totalprice > 400000", n("order", "o_orderkey"), typed("o_totalprice", DOUBLE), "MaxInclusive") + " UNION ALL " + sql("orders WHERE o_totalprice < 1000", n("order", "o_orderkey"), typed("o_totalprice", DOUBLE), "MinInclusive"),
 )
 # pairs of properties ----------------------------------------------------------------------------------------------
 add(

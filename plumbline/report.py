@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Triple
+from .plans.ir import Alternative, Inverse, Path, Predicate, Sequence
 from .sources.readers import read_triples, to_text
 from .terms import RDF, SH, XSD, Term, bnode, iri, literal, text_of
 
@@ -16,8 +19,8 @@ LEVELS = ("Violation", "Warning", "Info")
 
 
 def rendered(results: DataFrame) -> DataFrame:
-    """Result rows with terms as N-Triples text; rows that several roots share appear once."""
-    out = results.select(
+    """Result rows with terms as N-Triples text. A result that several values of an outer path lead to is one for each."""
+    return results.select(
         text_of(F.col("focus")).alias("focus"),
         "path",
         text_of(F.col("value")).alias("value"),
@@ -28,15 +31,40 @@ def rendered(results: DataFrame) -> DataFrame:
         "detail",
         "messages",
         "trace",
+        F.col("source").alias("source_constraint"),
     )
-    return out
+
+
+#: What a result and its details share: the value that an inner shape was asked about, by which constraint.
+PARENT = ("source_shape", "component", "value")
 
 
 class Report:
-    """The results of a run. Nothing is computed before it is asked for."""
+    """The results of a run. Nothing is computed before it is asked for.
 
-    def __init__(self, results: DataFrame) -> None:
+    ``inner`` are (shape, component, result rows) of the shapes inside constraints, whose roots are the values.
+    """
+
+    def __init__(self, results: DataFrame, inner: Iterable[tuple[str, str, DataFrame]] = ()) -> None:
         self.results = rendered(results)
+        self.inner = list(inner)
+
+    def details(self) -> DataFrame:
+        """Results of inner shapes as the columns of ``results``, with ``parent_shape``, ``parent_component`` and
+        ``parent_value`` of the results, or of other details, that they explain."""
+        names = [f"parent_{c.removeprefix('source_')}" for c in PARENT]
+        if not self.inner:
+            return self.results.limit(0).select("*", *(F.lit(None).cast("string").alias(n) for n in names))
+        found = []
+        for shape, component, rows in self.inner:
+            one = rendered(rows.withColumn("name", F.struct("name", text_of(F.col("root")).alias("root"))))
+            one = one.withColumn(names[2], F.col("source_shape_name.root")).withColumn("source_shape_name", F.col("source_shape_name.name"))
+            found.append(one.withColumns({names[0]: F.lit(shape), names[1]: F.lit(component)}))
+        all_ = reduce(DataFrame.unionByName, found).distinct()
+        keys = [c.alias(f"_{n}") for c, n in zip(map(F.col, PARENT), names, strict=True)]
+        known = self.results.select(*keys).unionByName(all_.select(*keys)).distinct()
+        on = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+        return all_.join(known, on, "left_semi")
 
     @property
     def conforms(self) -> bool:
@@ -62,16 +90,48 @@ class Report:
             F.col("component").alias("sourceConstraintComponent"),
             F.col("messages").alias("resultMessage"),
             "trace",
+            F.col("source_constraint").alias("sourceConstraint"),
         )
 
+    def _nested(self, rows: list[dict]) -> list[tuple[dict, int | None]]:
+        """Results and the details below them, each with the place of what it explains; small reports only."""
+        if not self.inner:
+            return [(r, None) for r in rows]
+        below: dict[tuple, list[dict]] = {}
+        for r in sorted((r.asDict() for r in self.details().collect()), key=str):
+            below.setdefault((r["parent_shape"], r["parent_component"], r["parent_value"]), []).append(r)
+        out: list[tuple[dict, int | None]] = []
+
+        def add(r: dict, parent: int | None, path: tuple) -> None:
+            key = tuple(r[c] for c in PARENT)
+            out.append((r, parent))
+            at = len(out) - 1
+            if key not in path:
+                for d in below.get(key, ()):
+                    add(d, at, (*path, key))
+
+        for r in rows:
+            add(r, None, ())
+        return out
+
     def rows(self) -> list[dict]:
         """All results on the driver, in a stable order; for reports that a person reads."""
         order = ("source_shape", "focus", "path", "component", "value")
         return [r.asDict() for r in self.results.orderBy(*order).collect()]
 
     def to_json(self) -> str:
-        rows = [json.loads(r.value) for r in self.json_rows().orderBy("value").collect()]
-        return json.dumps({"conforms": not rows, "results": rows}, indent=2, ensure_ascii=False)
+        if not self.inner:
+            rows = [json.loads(r.value) for r in self.json_rows().orderBy("value").collect()]
+            return json.dumps({"conforms": not rows, "results": rows}, indent=2, ensure_ascii=False)
+        made: list[dict] = []
+        nested = self._nested(self.rows())
+        for r, parent in nested:
+            shown = {name: r[c] for name, c in JSON if r[c] is not None}
+            made.append(shown)
+            if parent is not None:
+                made[parent].setdefault("details", []).append(shown)
+        top = [x for x, (_, parent) in zip(made, nested, strict=True) if parent is None]
+        return json.dumps({"conforms": not top, "results": top}, indent=2, ensure_ascii=False)
 
     def to_text(self) -> str:
         rows = self.rows()
@@ -85,18 +145,21 @@ class Report:
         return "\n".join(out) + "\n"
 
     def to_triples(self) -> list[Triple]:
-        """The report as RDF; a path of several steps is given as a literal."""
-        rows, report = self.rows(), bnode("report")
+        """The report as RDF, details as sh:detail, paths as the standard writes them."""
+        rows, report = self._nested(self.rows()), bnode("report")
         out: list[Triple] = [
             (report, RDF + "type", iri(SH + "ValidationReport")),
             (report, SH + "conforms", literal(str(not rows).lower(), XSD + "boolean")),
         ]
-        for i, r in enumerate(rows):
+        for i, (r, parent) in enumerate(rows):
             node = bnode(f"result{i}")
-            out += [(report, SH + "result", node), (node, RDF + "type", iri(SH + "ValidationResult"))]
+            above = (report, SH + "result") if parent is None else (bnode(f"result{parent}"), SH + "detail")
+            out += [(*above, node), (node, RDF + "type", iri(SH + "ValidationResult"))]
             out.append((node, SH + "focusNode", term(r["focus"])))
             if r["path"]:
-                out.append((node, SH + "resultPath", term(r["path"]) if r["path"].startswith("<") and r["path"].count("<") == 1 and r["path"].endswith(">") else literal(r["path"])))
+                out.append((node, SH + "resultPath", path_node(parse_path(r["path"]), f"path{i}", out)))
+            if r["source_constraint"]:
+                out.append((node, SH + "sourceConstraint", term(r["source_constraint"])))
             if r["value"] is not None:
                 out.append((node, SH + "value", term(r["value"])))
             out += [
@@ -114,6 +177,45 @@ class Report:
         return self.to_json() if fmt == "json" else to_text(self.to_triples(), fmt)
 
 
+#: Names of a result's members in JSON, and their columns.
+JSON = (
+    ("focusNode", "focus"), ("resultPath", "path"), ("value", "value"), ("resultSeverity", "severity"), ("sourceShape", "source_shape"),
+    ("sourceConstraintComponent", "component"), ("resultMessage", "messages"), ("trace", "trace"), ("sourceConstraint", "source_constraint"),
+)
+
+
+def parse_path(text: str) -> Path:
+    from .sparql.parser import Parser
+
+    return Parser(text).alternative()
+
+
+def path_node(path: Path, label: str, out: list[Triple]) -> Term:
+    """The node of a path, as the shapes language writes it; the triples below it are appended to ``out``."""
+    if isinstance(path, Predicate):
+        return iri(path.iri)
+    node = bnode(label)
+
+    def items(parts: Iterable[Path], name: str) -> Term:
+        head = iri(RDF + "nil")
+        for i, p in reversed(list(enumerate(parts))):
+            cell = bnode(f"{name}_{i}")
+            out.extend([(cell, RDF + "first", path_node(p, f"{name}_{i}p", out)), (cell, RDF + "rest", head)])
+            head = cell
+        return head
+
+    if isinstance(path, Sequence):
+        return items(path.parts, label)
+    if isinstance(path, Alternative):
+        out.append((node, SH + "alternativePath", items(path.parts, label + "a")))
+    elif isinstance(path, Inverse):
+        out.append((node, SH + "inversePath", path_node(path.path, label + "i", out)))
+    else:
+        kind = "zeroOrOnePath" if not path.many else "oneOrMorePath" if path.least else "zeroOrMorePath"
+        out.append((node, SH + kind, path_node(path.path, label + "c", out)))
+    return node
+
+
 def term(text: str) -> Term:
     """A term from its N-Triples text."""
     (_, _, o), = read_triples(f"<x:s> <x:p> {text} .", "ttl")

@@ -6,7 +6,9 @@ Line formats are read by Spark and split over tasks; the others need a whole doc
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,12 +86,21 @@ LINE = (
 )
 
 
+def _scope():
+    """What a file's blank nodes are told apart by: its path or, for the parts that a writer dealt a graph into, their folder's."""
+    name = F.input_file_name()
+    whole = F.when(name.rlike(r"/part-[^/]*$"), F.regexp_replace(name, r"/part-[^/]*$", "")).otherwise(name)
+    return F.concat(F.lit("f"), F.lower(F.hex(F.xxhash64(whole))), F.lit("_"))
+
+
 def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """(s, p, o) of N-Triples or N-Quads files, split by line over tasks; fails on a line that is neither."""
+    """(s, p, o) of N-Triples or N-Quads files, split by line over tasks; fails on a line that is neither.
+
+    Blank nodes of different files differ; the part files of one folder are one graph.
+    """
     raw = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
     rows = raw.where(F.trim("value") != "").where(~F.ltrim("value").startswith("#"))
-    scope = F.concat(F.lit("f"), F.abs(F.hash(F.input_file_name())).cast("string"), F.lit("_"))
-    rows = rows.select("value", scope.alias("scope"))
+    rows = rows.select("value", _scope().alias("scope"))
     bad = F.raise_error(F.concat(F.lit("no triple: "), F.col("value")))
     part = lambda k: F.regexp_extract("value", LINE, k)
     split = rows.select(
@@ -103,7 +114,7 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
 def read_documents(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
     """(s, p, o) of files in a document format, one file a task; blank nodes of different files differ."""
     raw = spark.read.option("wholetext", True).text(paths)
-    files = raw.select("value", F.concat(F.lit("f"), F.abs(F.hash(F.input_file_name())).cast("string"), F.lit("_")).alias("scope"))
+    files = raw.select("value", _scope().alias("scope"))
 
     def run(batches):
         import pandas as pd
@@ -135,12 +146,36 @@ def write_lines(frame: DataFrame, path: str) -> None:
     frame.select(line.alias("value")).write.text(path)
 
 
-def to_text(triples: Iterable[Triple], fmt: str = "ttl") -> str:
-    """A small graph as text, in Turtle (with the prefix ``sh``), N-Triples or JSON-LD."""
+def _xml(triples: list[Triple]) -> str:
+    """RDF/XML: an element a subject. Raises ParseError for a predicate whose end is no XML name."""
+    names: dict[str, str] = {RDF: "rdf", SH: "sh"}
+    by: dict[Term, list[str]] = {}
+    for s, p, o in triples:
+        m = re.match(r"(.*?)([^\W\d][\w.-]*)$", p, re.DOTALL)
+        if not m:
+            raise ParseError(f"RDF/XML can't name the predicate <{p}>")
+        tag = f"{names.setdefault(m[1], f'n{len(names)}')}:{m[2]}"
+        if o.is_literal:
+            kind = f" xml:lang={quoteattr(o.lang)}" if o.lang else f" rdf:datatype={quoteattr(o.dt)}" if o.dt not in ("", XSD + "string") else ""
+            text = escape(o.lex, {"\r": "&#13;"})
+            by.setdefault(s, []).append(f"    <{tag}{kind}>{text}</{tag}>")
+        else:
+            by.setdefault(s, []).append(f"    <{tag} {'rdf:resource' if o.kind == 'iri' else 'rdf:nodeID'}={quoteattr(o.lex)}/>")
+    out = ['<?xml version="1.0" encoding="UTF-8"?>', "<rdf:RDF " + " ".join(f"xmlns:{k}={quoteattr(v)}" for v, k in names.items()) + ">"]
+    for s, lines in by.items():
+        out += [f"  <rdf:Description {'rdf:about' if s.kind == 'iri' else 'rdf:nodeID'}={quoteattr(s.lex)}>", *lines, "  </rdf:Description>"]
+    return "\n".join([*out, "</rdf:RDF>", ""])
+
+
+def to_text(triples: Iterable[Triple], fmt: str = "ttl", graph: str | None = None) -> str:
+    """A small graph as text in any of the formats; TriG and N-Quads put it in the graph named, or in the default one."""
     fmt = format_of(fmt)
     triples = list(dict.fromkeys(triples))
     if fmt in ("nt", "nq"):
-        return "".join(f"{s} <{p}> {o} .\n" for s, p, o in triples)
+        end = f" <{graph}>" if graph and fmt == "nq" else ""
+        return "".join(f"{s} <{p}> {o}{end} .\n" for s, p, o in triples)
+    if fmt == "rdf":
+        return _xml(triples)
     if fmt == "jsonld":
         import json
 
@@ -153,14 +188,15 @@ def to_text(triples: Iterable[Triple], fmt: str = "ttl") -> str:
                 v = {"@id": o.lex if o.kind == "iri" else f"_:{o.lex}"}
             n.setdefault(p, []).append(v)
         return json.dumps(list(nodes.values()), indent=2, ensure_ascii=False)
-    if fmt not in ("ttl", "trig"):
-        raise ParseError(f"no writer for {fmt}")
     short = lambda x: f"sh:{x[len(SH):]}" if x.startswith(SH) and x[len(SH) :].isalnum() else f"<{x}>"
     show = lambda t: short(t.lex) if t.kind == "iri" else str(t)
     lines = [f"@prefix sh: <{SH}> .", ""]
     by: dict[Term, list[tuple[str, Term]]] = {}
     for s, p, o in triples:
         by.setdefault(s, []).append((p, o))
+    named = fmt == "trig" and graph
+    lines += [f"<{graph}> {{"] if named else []
     for s, some in by.items():
         lines.append(show(s) + " " + " ;\n    ".join(f"{'a' if p == RDF + 'type' else short(p)} {show(o)}" for p, o in some) + " .")
+    lines += ["}"] if named else []
     return "\n".join(lines) + "\n"
