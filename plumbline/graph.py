@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -80,6 +80,18 @@ class Graph:
         """(s, o) of the path ``^p/q`` without a join, if both are columns of one table that alone has them."""
         return None
 
+    def pointed(self, home: Mapping, p: str) -> Mapping | None:
+        """The table whose rows are the nodes that ``p`` of the rows of ``home`` leads to, if columns of the two equal."""
+        return None
+
+    def pointing(self, home: Mapping, p: str) -> Mapping | None:
+        """The table whose rows alone lead to the rows of ``home`` by ``p``, if columns of the two equal."""
+        return None
+
+    def triples_of(self, home: Mapping) -> DataFrame | None:
+        """(s, p, o) of the rows of ``home`` as read from them, if no other table has their subjects; extra triples with them."""
+        return None
+
     def cache(self) -> Graph:
         return self
 
@@ -151,6 +163,16 @@ class Mapping:
     unique: bool = True
 
 
+def renamed(m: Mapping, prefix: str) -> Mapping:
+    """The same table with ``prefix`` before the names of its columns, to be joined to others."""
+    made = {
+        p: replace(o, column=prefix + o.column) if isinstance(o, Iri) or not o.lang else replace(o, column=prefix + o.column, lang=prefix + o.lang)
+        for p, o in m.predicates.items()
+    }
+    frame = m.frame.select(*(F.col(f"`{c}`").alias(prefix + c) for c in m.frame.columns))
+    return replace(m, frame=frame, subject=replace(m.subject, column=prefix + m.subject.column), predicates=made)
+
+
 class MappedGraph(Graph):
     """Relational tables seen as a graph, without triples being made: a predicate is two columns of a table.
 
@@ -219,6 +241,31 @@ class MappedGraph(Graph):
             return None
         return m.frame.select(a.alias("s"), b.alias("o")).where("s.lex is not null and o.lex is not null")
 
+    def _keyed(self, m: Mapping, p: str, other: Mapping) -> bool:
+        """Whether ``p`` of ``m`` names rows of ``other`` by a column that equals theirs just if the IRIs are equal."""
+        o = m.predicates.get(p)
+        if not isinstance(o, Iri) or o.base != other.subject.base or self.column_of(m, p) is None:
+            return False
+        kinds = [x.frame.schema[c].dataType.typeName() for x, c in ((m, o.column), (other, other.subject.column))]
+        return set(kinds) <= {"byte", "short", "integer", "long"} or kinds == ["string", "string"]
+
+    def pointed(self, home: Mapping, p: str) -> Mapping | None:
+        o = home.predicates.get(p)
+        hit = [m for m in self.mappings if isinstance(o, Iri) and m.subject.base == o.base]
+        plain = len(hit) == 1 and hit[0].unique and not any(s.lex.startswith(o.base) for s, _, _ in self.extra)
+        return hit[0] if plain and self._keyed(home, p, hit[0]) else None
+
+    def pointing(self, home: Mapping, p: str) -> Mapping | None:
+        owners = [m for m in self.mappings if p in m.predicates]
+        plain = len(owners) == 1 and owners[0].unique and not any(q == p for _, q, _ in self.extra)
+        return owners[0] if plain and self._keyed(owners[0], p, home) else None
+
+    def triples_of(self, home: Mapping) -> DataFrame | None:
+        if sum(m.subject.base == home.subject.base for m in self.mappings) > 1:
+            return None
+        alone = MappedGraph([home], [x for x in self.extra if x[0].lex.startswith(home.subject.base)])
+        return alone.triples()
+
     def below(self, start: str, p: str) -> list[str]:
         """Tables hold no hierarchy unless a column is mapped to it; without one the extra triples tell."""
         if any(p in m.predicates for m in self.mappings):

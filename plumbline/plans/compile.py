@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..graph import SUBCLASS, Dataset, Mapping
+from ..graph import SUBCLASS, Dataset, Mapping, renamed
 from ..operators import paths
 from ..operators.fixpoint import cut
 from ..operators.targets import Targets
 from ..terms import TERM, in_terms, is_term, same
-from .ir import Constraint, Path, Predicate, Sequence, Shape
+from .ir import Constraint, Inverse, Path, Predicate, Sequence, Shape
 from .mode import STRICT, Mode
 
 RESULT = (
@@ -96,6 +96,9 @@ class Compiler:
         """
         if path is None:
             return foci.withColumn("value", F.col("focus"))
+        if home is not None and "root" not in foci.columns and (rows := self.rows_with(home, path)) is not None:
+            frame, (column,) = rows
+            return frame.select(home.subject.term().alias("focus"), column.alias("value")).where("value.lex is not null")
         first, rest = (path.parts[0], path.parts[1:]) if isinstance(path, Sequence) else (path, ())
         column = self.graph.column_of(home, first.iri) if home is not None and isinstance(first, Predicate) else None
         if column is None:
@@ -105,6 +108,140 @@ class Compiler:
             now = paths.follow(now, p, self.graph, self.mode.cycle_back)
         return now
 
+    # rows of tables -----------------------------------------------------------------------------------------------
+
+    def rows_with(self, home: Mapping, *some: Path) -> tuple[DataFrame, list[Column]] | None:
+        """The rows of a table with a term column for the value of each path, null where there is none.
+
+        None if a path is no chain of predicates that lead from a row to one row of the next table, by columns that
+        equal. So a path is a join on those columns, whatever the IRIs look like, and needs no distinct.
+        """
+        frame, columns = home.frame, []
+        for path in some:
+            steps = path.parts if isinstance(path, Sequence) else (path,)
+            if not all(isinstance(s, Predicate) for s in steps):
+                return None
+            now = home
+            for s in steps[:-1]:
+                to = self.graph.pointed(now, s.iri)
+                if to is None:
+                    return None
+                to = renamed(to, f"_t{next(self._number)}_")
+                frame = frame.join(to.frame, F.col(now.predicates[s.iri].column) == F.col(to.subject.column), "left")
+                now = to
+            column = self.graph.column_of(home, steps[0].iri) if now is home else self._own(now, steps[-1].iri)
+            if column is None:
+                return None
+            columns.append(F.when(column["lex"].isNotNull(), column))
+        return frame, columns
+
+    def _own(self, to: Mapping, p: str) -> Column | None:
+        """A predicate's column of a table that was renamed, if that table alone has it for its rows."""
+        original = next(m for m in self.graph.mappings if m.subject.base == to.subject.base)
+        return to.predicates[p].term() if self.graph.column_of(original, p) is not None else None
+
+    def row_test(self, shape: Shape, table: Mapping, node: Column | None = None) -> Column | None:
+        """Whether the row of a table, as the node ``node``, conforms to ``shape``; None if its columns alone don't tell."""
+        node = table.subject.term() if node is None else node
+        if shape.deactivated and self.mode.deactivated_everywhere:
+            return F.lit(True)
+        own = (lambda p: self._own(table, p)) if hasattr(self.graph, "mappings") else (lambda p: None)
+        if shape.path is None:
+            value, count_ = node, F.lit(1)
+        else:
+            value = own(shape.path.iri) if isinstance(shape.path, Predicate) and shape.path.iri in table.predicates else None
+            if value is None or shape.properties:
+                return None
+            value = F.when(value["lex"].isNotNull(), value)
+            count_ = value.isNotNull().cast("int")
+        tests = []
+        for c in shape.constraints:
+            p = c.params
+            if c.name in LOCAL:
+                tests += [value.isNull() | ~F.coalesce(broken, F.lit(False)) for broken, _ in LOCAL[c.name](self, c, value)]
+            elif c.name == "MinCount":
+                tests.append(count_ >= p["minCount"])
+            elif c.name == "MaxCount":
+                tests.append(count_ <= p["maxCount"])
+            elif c.name == "HasValue":
+                tests.append(F.coalesce(is_term(value, p["hasValue"]), F.lit(False)))
+            elif shape.path is None and c.name in LOGIC and (holds := self._logic(c, table, node)) is not None:
+                tests.append(holds)
+            else:
+                return None
+        for q in shape.properties:
+            one = self.row_test(q, table, node)
+            if one is None:
+                return None
+            tests.append(one)
+        return reduce(and_, tests) if tests else F.lit(True)
+
+    def _logic(self, c: Constraint, table: Mapping, node: Column | None = None) -> Column | None:
+        """Whether a node that is a row of a table meets a logical constraint; None if the row alone doesn't tell."""
+        inner = c.params[c.name.lower()]
+        if self.details is not None or not (self.mode.siblings_disjoint_only or c.name != "Node"):
+            return None
+        tests = [self.row_test(s, table, node) for s in (inner if isinstance(inner, (list, tuple)) else [inner])]
+        return None if any(t is None for t in tests) else LOGIC[c.name](tests)
+
+    def logical(self, shape: Shape, c: Constraint, vals: DataFrame, home: Mapping | None) -> DataFrame | None:
+        """Violations of a logical constraint by one pass over the rows that its values are; None if they are no rows."""
+        if home is None or "root" in vals.columns:
+            return None
+        if shape.path is None:
+            holds = self._logic(c, home)
+            return None if holds is None else home.frame.where(~holds).select(home.subject.term().alias("focus")).withColumn("value", F.col("focus"))
+        to = self.graph.pointed(home, shape.path.iri) if isinstance(shape.path, Predicate) else None
+        if to is None:
+            return None
+        to, value = renamed(to, f"_t{next(self._number)}_"), self.graph.column_of(home, shape.path.iri)
+        holds = self._logic(c, to, value)
+        if holds is None:
+            return None
+        rows = home.frame.where(value["lex"].isNotNull())
+        rows = rows.join(to.frame, F.col(home.predicates[shape.path.iri].column) == F.col(to.subject.column), "left")
+        return rows.where(~holds).select(home.subject.term().alias("focus"), value.alias("value"))
+
+    def _by_key(self, constraints: list[Constraint], shape: Shape, siblings: tuple[Shape, ...], home: Mapping) -> tuple[DataFrame, dict] | None:
+        """(focus, an aggregate for each constraint) of the rows of ``home``, whose values are rows of a table that point to them.
+
+        One aggregation by the column that points, before it meets the foci. None if the path or a constraint is no such.
+        """
+        path, column = shape.path, None
+        if isinstance(path, Sequence) and len(path.parts) == 2 and isinstance(path.parts[1], Predicate):
+            path, column = path.parts
+        if not (isinstance(path, Inverse) and isinstance(path.path, Predicate)):
+            return None
+        table = self.graph.pointing(home, path.path.iri)
+        if table is None:
+            return None
+        if column is not None:
+            column = self.graph.column_of(table, column.iri)
+            if column is None or any(c.name != "HasValue" for c in constraints):
+                return None  # other constraints count distinct values
+        aggregates = {"n": F.count(F.lit(1))}
+        for k, c in enumerate(constraints):
+            if c.name == "HasValue":
+                value = table.subject.term() if column is None else column
+                aggregates[f"h{k}"] = F.max(F.coalesce(is_term(value, c.params["hasValue"]), F.lit(False)).cast("int"))
+            elif c.name == "Qualified":
+                if not self.mode.siblings_disjoint_only:
+                    return None
+                tests = [self.row_test(c.params["qualifiedValueShape"], table)]
+                if c.params.get("qualifiedValueShapesDisjoint"):
+                    others = [o.params["qualifiedValueShape"] for s in siblings for o in s.constraints if o.name == "Qualified"]
+                    for o in others:
+                        if o.node != c.params["qualifiedValueShape"].node:
+                            t = self.row_test(o, table)
+                            tests.append(None if t is None else ~t)
+                if any(t is None for t in tests):
+                    return None
+                aggregates[f"q{k}"] = F.sum(reduce(and_, tests).cast("int"))
+        key = F.col(table.predicates[path.path.iri].column)
+        g = table.frame.where(key.isNotNull()).groupBy(key.alias("_key")).agg(*(a.alias(n) for n, a in aggregates.items()))
+        rows = home.frame.select(F.col(home.subject.column).alias("_id"), home.subject.term().alias("focus"))
+        return rows.join(g, F.col("_id") == F.col("_key"), "left").drop("_id", "_key"), aggregates
+
     def results(
         self, shape: Shape, foci: DataFrame, siblings: tuple[Shape, ...] = (), wide: bool = False, home: Mapping | None = None
     ) -> DataFrame:
@@ -192,22 +329,31 @@ class Compiler:
         """One aggregation for all constraints that count a focus's values."""
         aggregates, checks, rows = {"n": F.count("value")}, [], vals
         of_one = {"n": F.col("value").isNotNull().cast("int")}  # the same of at most one value
-        for c in constraints:
+        by_key = self._by_key(constraints, shape, siblings, home) if home is not None and "root" not in foci.columns else None
+        for i, c in enumerate(constraints):
             p = c.params
             if c.name == "MinCount":
                 checks.append((c, F.coalesce("n", F.lit(0)) < p["minCount"], f"has fewer than {p['minCount']} values"))
             elif c.name == "MaxCount":
                 checks.append((c, F.coalesce("n", F.lit(0)) > p["maxCount"], f"has more than {p['maxCount']} values"))
             elif c.name == "HasValue":
-                k = f"h{len(aggregates)}"
+                k = f"h{i}"
                 of_one[k] = is_term(F.col("value"), p["hasValue"]).cast("int")
                 aggregates[k] = F.max(of_one[k])
                 checks.append((c, F.coalesce(k, F.lit(0)) == 0, f"lacks the value {p['hasValue']}"))
             elif c.name == "Qualified":
                 inner: Shape = p["qualifiedValueShape"]
+                k, low, high = f"q{i}", p.get("qualifiedMinCount"), p.get("qualifiedMaxCount")
+                if low is not None:
+                    one = Constraint(c.component.replace("Qualified", "QualifiedMinCount"), p)
+                    checks.append((one, F.coalesce(k, F.lit(0)) < low, f"has fewer than {low} values of the qualified shape"))
+                if high is not None:
+                    one = Constraint(c.component.replace("Qualified", "QualifiedMaxCount"), p)
+                    checks.append((one, F.coalesce(k, F.lit(0)) > high, f"has more than {high} values of the qualified shape"))
+                if by_key is not None:
+                    continue
                 nodes = vals.select("value").distinct()
                 bad = self.failing(inner, nodes).select(F.col("value").alias("_b")).withColumn("_f", F.lit(1))
-                k = f"q{len(aggregates)}"
                 rows = rows.join(bad, same(F.col("value"), F.col("_b")), "left").withColumn(f"_{k}", F.col("_f").isNull()).drop("_b", "_f")
                 ok = F.col(f"_{k}")
                 if not self.mode.siblings_disjoint_only:
@@ -222,15 +368,10 @@ class Compiler:
                             rows = rows.join(wrong, same(F.col("value"), F.col("_b")), "left").withColumn(m, F.col("_f").isNull()).drop("_b", "_f")
                             ok = ok & ~F.col(m)
                 aggregates[k] = F.sum(ok.cast("int"))
-                low, high = p.get("qualifiedMinCount"), p.get("qualifiedMaxCount")
-                if low is not None:
-                    one = Constraint(c.component.replace("Qualified", "QualifiedMinCount"), p)
-                    checks.append((one, F.coalesce(k, F.lit(0)) < low, f"has fewer than {low} values of the qualified shape"))
-                if high is not None:
-                    one = Constraint(c.component.replace("Qualified", "QualifiedMaxCount"), p)
-                    checks.append((one, F.coalesce(k, F.lit(0)) > high, f"has more than {high} values of the qualified shape"))
         made_of = [a.alias(k) for k, a in aggregates.items()]
-        if shape.path is None:
+        if by_key is not None:
+            whole = by_key[0]
+        elif shape.path is None:
             whole = rows.groupBy(*ids(rows)).agg(*made_of)
         elif home is not None and rows is vals and isinstance(shape.path, Predicate) and (one := self.graph.column_of(home, shape.path.iri)) is not None:
             # a column has one value or none a row, so there is nothing to group
@@ -350,6 +491,14 @@ LOCAL = {
     "In": _in,
 }
 COUNTED = ("MinCount", "MaxCount", "HasValue", "Qualified")
+#: Logical constraints: whether they hold, of whether the inner shapes do.
+LOGIC = {
+    "Node": lambda tests: tests[0],
+    "And": lambda tests: reduce(and_, tests, F.lit(True)),
+    "Or": lambda tests: reduce(or_, tests, F.lit(False)),
+    "Xone": lambda tests: reduce(lambda a, b: a + b, [t.cast("int") for t in tests], F.lit(0)) == 1,
+    "Not": lambda tests: ~tests[0],
+}
 
 
 # constraints with plans of their own ------------------------------------------------------------------------------
@@ -409,11 +558,12 @@ def _disjoint(k, shape, c, foci, vals, home=None):
 def _less(name: str, op: str):
     def test(k, shape, c, foci, vals, home=None):
         names = ids(foci)
-        one = [k.graph.column_of(home, p.iri) if home is not None and isinstance(p, Predicate) else None for p in (shape.path, c.params[name])]
-        if all(x is not None for x in one):
-            # two columns of a row
-            both = home.frame.select(home.subject.term().alias("focus"), one[0].alias("value"), one[1].alias("other"))
-            both = both.where("value.lex is not null and other.lex is not null")
+        rows = k.rows_with(home, shape.path, c.params[name]) if home is not None and "root" not in names else None
+        if rows is not None:
+            # two values of a row
+            frame, (value, other) = rows
+            both = frame.select(home.subject.term().alias("focus"), value.alias("value"), other.alias("other"))
+            both = both.where("value is not null and other is not null")
         else:
             other = k.other_values(c.params[name], foci, home).withColumnsRenamed({x: f"_{x}" for x in names})
             on = reduce(and_, [same(F.col(x), F.col(f"_{x}")) for x in names])
@@ -447,6 +597,8 @@ def _traced(rows: DataFrame, what: str, message: str) -> DataFrame:
 
 def _node(k, shape, c, foci, vals, home=None):
     inner: Shape = c.params["node"]
+    if (rows := k.logical(shape, c, vals, home)) is not None:
+        return rows.withColumn("message", F.lit(f"doesn't conform to {inner.node}"))
     out = _failing_values(k, vals, [inner], lambda n: n == 0, (shape, c))
     if not k.mode.siblings_disjoint_only:
         out = out.unionByName(vals.where("value.kind = 'literal'")).distinct()
@@ -455,11 +607,14 @@ def _node(k, shape, c, foci, vals, home=None):
 
 def _and(k, shape, c, foci, vals, home=None):
     some = c.params["and"]
-    return _traced(_failing_values(k, vals, some, lambda n: n < len(some), (shape, c)), "sh:and validation", "doesn't conform to all shapes")
+    rows = k.logical(shape, c, vals, home)
+    return _traced(rows if rows is not None else _failing_values(k, vals, some, lambda n: n < len(some), (shape, c)), "sh:and validation", "doesn't conform to all shapes")
 
 
 def _or(k, shape, c, foci, vals, home=None):
     """Successive narrowing: a shape is asked only about values that failed all shapes before it."""
+    if (rows := k.logical(shape, c, vals, home)) is not None:
+        return _traced(rows, "sh:or validation", "conforms to none of the shapes")
     nodes = vals.select("value").distinct()
     for i, s in enumerate(c.params["or"]):
         nodes = k.failing(s, nodes, narrowed=i > 1, outer=(shape, c))
@@ -468,12 +623,14 @@ def _or(k, shape, c, foci, vals, home=None):
 
 
 def _xone(k, shape, c, foci, vals, home=None):
-    return _traced(_failing_values(k, vals, c.params["xone"], lambda n: n != 1, (shape, c)), "sh:xone validation", "doesn't conform to exactly one shape")
+    rows = k.logical(shape, c, vals, home)
+    return _traced(rows if rows is not None else _failing_values(k, vals, c.params["xone"], lambda n: n != 1, (shape, c)), "sh:xone validation", "doesn't conform to exactly one shape")
 
 
 def _not(k, shape, c, foci, vals, home=None):
     inner = c.params["not"]
-    return _traced(_failing_values(k, vals, [inner], lambda n: n == 1), "sh:not validation", f"conforms to {inner.node}")
+    rows = k.logical(shape, c, vals, home)
+    return _traced(rows if rows is not None else _failing_values(k, vals, [inner], lambda n: n == 1), "sh:not validation", f"conforms to {inner.node}")
 
 
 def _closed(k, shape, c, foci, vals, home=None):
@@ -482,10 +639,16 @@ def _closed(k, shape, c, foci, vals, home=None):
     allowed = set(c.params["ignored"])
     for p in shape.properties:
         allowed |= paths.direct_predicates(p.path, not k.mode.closed_direct_only)
-    t = k.graph.triples().where(~F.col("p").isin(sorted(allowed)) if allowed else F.lit(True))
-    t = t.select(F.col("s").alias("_s"), F.col("p").alias("path"), F.col("o").alias("_o"))
-    v = vals.where("value.kind <> 'literal'")
-    out = v.join(t, same(F.col("value"), F.col("_s"))).select(*ids(vals), "path", F.col("_o").alias("value"))
+    on_rows = home is not None and not shape.is_property and "root" not in vals.columns
+    own = k.graph.triples_of(home) if on_rows else None
+    t = (own if own is not None else k.graph.triples()).where(~F.col("p").isin(sorted(allowed)) if allowed else F.lit(True))
+    if own is not None and not any(s.lex.startswith(home.subject.base) for s, _, _ in k.graph.extra):
+        # the foci are the rows that the triples are read from
+        out = t.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"))
+    else:
+        t = t.select(F.col("s").alias("_s"), F.col("p").alias("path"), F.col("o").alias("_o"))
+        v = vals.where("value.kind <> 'literal'")
+        out = v.join(t, same(F.col("value"), F.col("_s"))).select(*ids(vals), "path", F.col("_o").alias("value"))
     if k.mode.closed_reports_predicate:
         out = out.withColumn("path", F.concat(F.lit("<"), "path", F.lit(">")))
     else:
