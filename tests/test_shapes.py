@@ -1,5 +1,6 @@
 """Constraints, targets and paths on small graphs, with complete expected results."""
 
+import json
 from collections import Counter
 
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from plumbline import COMPAT, Dataset, Mode, TripleGraph, register_component, validate, validate_triples
 from plumbline.operators import paths, targets
 from plumbline.plans.ir import Alternative, Closure, Inverse, Predicate, Sequence, Target
-from plumbline.plans.shapes import ShapeError, parse_shapes
+from plumbline.plans.shapes import ShapeError, ShapesGraph, parse_shapes
 from plumbline.sources.readers import read_triples
 from plumbline.sparql.parser import QueryError
 from plumbline.terms import bnode, iri, literal
@@ -85,10 +86,42 @@ def test_constraint(spark, name):
 
 
 def test_sibling_shapes(spark):
-    data = "ex:h ex:digit ex:t, ex:f, ex:both . ex:t a ex:Thumb . ex:f a ex:Finger . ex:both a ex:Thumb, ex:Finger ."
-    q = "sh:property [ sh:path ex:digit ; sh:qualifiedValueShapesDisjoint true ; sh:qualifiedValueShape [ sh:class ex:%s ] ; sh:qualifiedMinCount %d ] ; "
-    shapes = "ex:S a sh:NodeShape ; sh:targetNode ex:h ; " + q % ("Thumb", 1) + q % ("Finger", 2) + "."
-    assert results(spark, shapes, data) == {("h", None, "QualifiedMinCount"): 1}
+    data = """ex:orchard ex:tree ex:t1, ex:t2, ex:t3, ex:t4, ex:t5 . ex:t1 ex:age 40 ; ex:bears "plum" . ex:t2 ex:age 70 . ex:t3 ex:bears "plum" .
+    ex:t4 ex:age 55 . ex:t5 ex:bears "fig" ."""
+    q = "sh:property [ sh:path ex:tree ; sh:qualifiedValueShapesDisjoint true ; sh:qualifiedValueShape [ %s ] ; sh:qualifiedMinCount %d ; sh:qualifiedMaxCount %d ] ; "
+    old, plums = "sh:property [ sh:path ex:age ; sh:minInclusive 30 ; sh:minCount 1 ]", 'sh:property [ sh:path ex:bears ; sh:hasValue "plum" ]'
+    # t1 is both and counts for neither: two old trees, one plum tree
+    shapes = "ex:S a sh:NodeShape ; sh:targetNode ex:orchard ; " + q % (old, 3, 3) + q % (plums, 1, 0) + "."
+    assert results(spark, shapes, data) == {("orchard", None, "QualifiedMinCount"): 1, ("orchard", None, "QualifiedMaxCount"): 1}
+
+
+def test_details_explain_results(spark):
+    shapes = """ex:S a sh:NodeShape ; sh:targetClass ex:Person ; sh:node ex:In .
+    ex:In sh:property ex:Know . ex:Know sh:path ex:knows ; sh:and ( ex:Mail ) . ex:Mail sh:property ex:MailP . ex:MailP sh:path ex:mail ; sh:minCount 1 ."""
+    report = validate_triples(graph(spark), read_triples(HEAD + shapes), details=True)
+    plain = validate_triples(graph(spark), read_triples(HEAD + shapes))
+    assert report.rows() == plain.rows() and report.rows() and plain.details().count() == 0
+    details = report.details().collect()
+    assert {r.parent_component.split("#")[1] for r in details} == {"NodeConstraintComponent", "AndConstraintComponent"}
+    parents = {(r["source_shape"], r["component"], r["value"]) for r in report.rows()} | {(r.source_shape, r.component, r.value) for r in details}
+    assert all((r.parent_shape, r.parent_component, r.parent_value) in parents for r in details)
+    nested = json.loads(report.to_json())
+    assert len(nested["results"]) == len(report.rows())
+    assert all(d["sourceConstraintComponent"].endswith("AndConstraintComponent") and d["details"] for r in nested["results"] for d in r["details"])
+    triples = read_triples(report.render("ttl"))
+    assert sum(p.endswith("#detail") for _, p, _ in triples) >= 2 * len(report.rows())
+    assert sum(p.endswith("#result") for _, p, _ in triples) == len(report.rows())
+
+
+def test_result_paths_and_sources_as_rdf(spark):
+    path = "( ex:knows [ sh:inversePath ex:knows ] [ sh:alternativePath ( ex:name [ sh:zeroOrMorePath ex:knows ] ) ] [ sh:oneOrMorePath ex:a ] [ sh:zeroOrOnePath ex:b ] )"
+    shapes = f"ex:S a sh:NodeShape ; sh:targetClass ex:Person ; sh:property [ sh:path {path} ; sh:minCount 99 ] ; sh:sparql ex:Q . ex:Q sh:select \"SELECT $this WHERE {{ $this a ?c }}\" ."
+    out = read_triples(validate_triples(graph(spark), read_triples(HEAD + shapes)).render("nt"), "nt")
+    again = ShapesGraph(out)
+    nodes = {o for _, p, o in out if p.endswith("#resultPath")}
+    want = ShapesGraph(read_triples(HEAD + shapes)).shape(iri(E + "S")).properties[0].path
+    assert {again.path(n) for n in nodes} == {want}
+    assert {o for _, p, o in out if p.endswith("#sourceConstraint")} == {iri(E + "Q")}
 
 
 def test_compat_differs(spark):

@@ -153,3 +153,33 @@ def test_two_columns_of_a_row(spark):
     foci = targets.resolve_target(Target("class", iri(E + "Row")), g)
     out = [sorted((r.focus.lex, r.value.lex) for r in paths.resolve(foci, path, x).collect()) for x in (g, TripleGraph(g.triples()))]
     assert g.across(E + "ref", E + "name") is not None and out[0] == out[1] == [(E + "row/1", "y"), (E + "row/2", "x"), (E + "row/2", "z")]
+
+
+def test_every_format_is_written_and_read():
+    a, b = iri(E + "a"), bnode("x1")
+    t = [
+        (a, RDF + "type", iri(E + "T")), (a, E + "p", literal('q"<&>\n\\é', lang="en-gb")), (a, E + "p", literal("5", XSD + "integer")),
+        (a, E + "q-r", b), (b, "http://other/ns#z", literal(" x\t")), (b, E + "p", iri("urn:x:y")),
+    ]
+    plain = lambda some: sorted(tuple(str(x) if getattr(x, "kind", "") != "bnode" else "_" for x in r) for r in some)
+    for fmt in ("ttl", "nt", "nq", "rdf", "jsonld", "trig"):
+        assert plain(readers.read_triples(readers.to_text(t, fmt), fmt)) == plain(t), fmt
+    for fmt in ("trig", "nq"):
+        assert {q[3] for q in readers.quads_of(readers.to_text(t, fmt, E + "g"), fmt)} in ({iri(E + "g")}, {E + "g"})
+    with pytest.raises(readers.ParseError):
+        readers.to_text([(a, "http://e/9", b)], "rdf")
+
+
+def test_blank_nodes_of_a_written_graph_stay_one(spark, tmp_path):
+    triples = [(bnode("x"), E + "p", literal(str(i))) for i in range(30)] + [(iri(E + "a"), E + "q", bnode("x"))]
+    frame = TripleGraph.of(spark, triples).triples().repartition(4)
+    readers.write_lines(frame, str(tmp_path / "one"))
+    readers.write_lines(frame, str(tmp_path / "two"))
+    assert len(list((tmp_path / "one").glob("part-*"))) > 1
+    back = readers.read_lines(spark, [str(tmp_path / "one")])
+    assert back.count() == 31 and back.where("s.kind = 'bnode'").select("s").distinct().count() == 1
+    both = readers.read_lines(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
+    assert both.where("s.kind = 'bnode'").select("s").distinct().count() == 2
+    for i in range(3):
+        (tmp_path / f"f{i}.nt").write_text(f"_:x <{E}p> _:x .\n")
+    assert readers.read_lines(spark, [str(tmp_path / f"f{i}.nt") for i in range(3)]).distinct().count() == 3
