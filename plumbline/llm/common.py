@@ -38,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpoint read in as many partitions as its rows need, so that many steps on little data make few files."""
+    out = checkpointed(df)
+    return out.coalesce(1 + out.count() // rows)
+
+
 def free(prefix: str, *frames: DataFrame) -> str:
     """``prefix`` with as many underscores before it as make it begin no column of ``frames``, whatever the case."""
     taken = [c.lower() for f in frames for c in f.columns]

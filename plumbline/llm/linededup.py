@@ -135,13 +135,15 @@ def dedup_lines(docs: DataFrame, removed: str = "n_removed") -> DataFrame:
     own = docs.withColumn(f"{c}own", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{c}id")) & (F.col(f"{c}own") == F.col(f"{c}copy"))
     both = own.join(runs, same, "left")
-    lines = _lines(F.col("text"))
-    gone = F.array_distinct(F.flatten(F.transform(f"{c}runs", lambda r: F.sequence(r["lo"], r["hi"]))))
-    at = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.transform(F.array_except(at, gone), lambda i: F.get(lines, i))
     some = F.col(f"{c}runs").isNotNull()
-    text = F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text").cast("string"))
-    count = F.when(some, F.size(lines) - F.size(kept)).otherwise(0).cast("int")
+    # columns of their own, so that a text is split once and not for each line
+    both = both.withColumn(f"{c}lines", F.when(some, _lines(F.col("text").cast("string"))))
+    lines = F.col(f"{c}lines")
+    gone = F.flatten(F.transform(f"{c}runs", lambda r: F.sequence(r["lo"], r["hi"])))
+    at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    both = both.withColumn(f"{c}kept", F.when(some, F.transform(at, lambda i: F.get(lines, i))))
+    text = F.coalesce(F.array_join(f"{c}kept", "\n"), F.col("text").cast("string"))
+    count = F.coalesce(F.size(lines) - F.size(f"{c}kept"), F.lit(0)).cast("int")
     own_columns = [x for x in docs.columns if x.lower() != removed.lower()]
     return both.select(*(text.alias("text") if x == "text" else F.col(f"`{x}`") for x in own_columns), count.alias(removed))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free, table
+from .common import checkpointed, free, settled, table
 
 BITS, SHINGLE, SEED = 3, 3, 42
 PARTS = 5
@@ -131,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars until no edge changes; each round is checkpointed. Hub vertices meet their
     least neighbour by a pre-aggregated minimum and a join that adaptive execution can split.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def mark(e: DataFrame) -> tuple:
         got = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
@@ -146,7 +146,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = checkpointed(small.select("e.a", "e.b").where("a <> b").distinct())
+        # stars have no more edges than there were
+        parts = now.rdd.getNumPartitions()
+        now = checkpointed(small.select("e.a", "e.b").where("a <> b").distinct().coalesce(parts))
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "v")
     return roots.unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()).distinct()
 
@@ -161,34 +163,47 @@ def _rooted(members: DataFrame, roots: DataFrame | None, by: str = "id") -> Data
 def _joined(first: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(v, root) of the components of ``first`` when ``edges`` (a, b) link them further."""
     if first is None:
-        return checkpointed(components(edges))
+        return settled(components(edges))
     for k in ("a", "b"):
         edges = _rooted(edges, first, k).drop(k).withColumnRenamed("root", k)
-    more = checkpointed(components(edges))
+    more = settled(components(edges))
     old = _rooted(first.withColumnRenamed("v", "id").withColumnRenamed("root", "r"), more, "r").select(F.col("id").alias("v"), "root")
-    return checkpointed(old.unionByName(more.join(first.select("v"), "v", "left_anti").select("v", "root")))
+    return settled(old.unionByName(more.join(first.select("v"), "v", "left_anti").select("v", "root")))
 
 
 def link(
-    members: DataFrame, near: Column, roots: DataFrame | None = None, check: Callable[[DataFrame], DataFrame] | None = None, finer: Column | None = None
+    members: DataFrame,
+    near: Column,
+    roots: DataFrame | None = None,
+    check: Callable[[DataFrame], DataFrame] | None = None,
+    finer: Column | None = None,
+    often: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(v, root): components of links between ``members`` (g, id, ...) of equal ``g``, and of ``roots`` (v, root).
 
     ``near`` holds of two members ``x`` and ``y`` that may link, and ``check`` keeps those of the pairs (a, b) that do.
-    ``finer`` gives keys of which members that link share one, for groups of more than SPLIT members. Repeated
-    (g, id) are one member. Members without links and roots are left out.
+    ``finer`` gives keys of which members that link share one, for groups of more than SPLIT members. ``often`` tells, by
+    the number of groups that two members share and their ``n``, whether they may link. Repeated (g, id) are one member.
+    Members without links and roots are left out.
     """
     check = check or (lambda pairs: pairs)
-    pair = lambda x, y: (F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"))
+
+    def pair(met: DataFrame, x: str, y: str) -> DataFrame:
+        ids = (F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"))
+        if often is None:
+            return met.select(*ids)
+        counted = met.groupBy(*ids, F.col(f"{x}.n").alias("na"), F.col(f"{y}.n").alias("nb")).agg(F.count("*").alias("shared"))
+        return counted.where(often(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+
     slim = [c for c in members.columns if c not in ("g", "id")]
     again = members.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1").select("g")
-    met = checkpointed(members.join(again, "g", "left_semi").groupBy("g", "id").agg(*(F.min(c).alias(c) for c in slim)))
-    # 1. every member with its group's least one
+    met = settled(members.join(again, "g", "left_semi").groupBy("g", "id").agg(*(F.min(c).alias(c) for c in slim)))
+    # 1. every member with its group's least one; where these share too few groups, step 2 counts all that they share
     heads = met.groupBy("g").agg(F.min(F.struct("id", *slim)).alias("head")).select("g", "head.*")
-    stars = met.alias("x").join(heads.alias("y"), "g").where((F.col("x.id") != F.col("y.id")) & near).select(*pair("x", "y"))
-    first = _joined(roots, check(stars))
+    stars = met.alias("x").join(heads.alias("y"), "g").where((F.col("x.id") != F.col("y.id")) & near)
+    first = _joined(roots, check(pair(stars, "x", "y")))
     # 2. pairs of a group from different components; most groups are within one and drop out
-    rooted = checkpointed(_rooted(met, first))
+    rooted = settled(_rooted(met, first))
     mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     if finer is None:
         left = rooted.join(mixed.select("g"), "g", "left_semi")
@@ -197,7 +212,7 @@ def link(
         key = F.when(F.col("size") > SPLIT, finer).otherwise(F.array("g"))
         left = left.withColumn("g", F.explode(key)).drop("size")
     cross = left.alias("x").join(left.alias("y"), "g").where((F.col("x.root") < F.col("y.root")) & near)
-    return _joined(first, check(cross.select(*pair("y", "x"))))
+    return _joined(first, check(pair(cross, "y", "x")))
 
 
 def by_parts(classes: DataFrame) -> tuple[DataFrame, Column, Column]:
@@ -290,17 +305,23 @@ def shingled(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return _rows(docs).mapInPandas(run, "doc_id long, copy long, fp long, id long, n int, bits array<long>, prefix array<long>")
 
 
-def by_prefix(rows: DataFrame, similarity: float) -> tuple[DataFrame, Column]:
-    """Members and ``near`` for ``link``: sets meet by shingles of their prefixes.
+def by_prefix(rows: DataFrame, similarity: float) -> tuple[DataFrame, Column, Callable[[Column, Column, Column], Column]]:
+    """Members, ``near`` and ``often`` for ``link``: sets meet by shingles of their prefixes.
 
     Sizes and the places of a shared shingle may rule the similarity out: before and after it, the shorter side bounds
-    what both share.
+    what both share. So may the number of shingles that the prefixes share: the others that the sets share are all
+    behind the prefix of one of them. Texts that share a passage only are told apart by that, without their sets.
     """
     members = rows.select("id", "n", F.posexplode("prefix").alias("i", "g")).select("g", "id", "n", "i")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     after = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
     enough = F.least("x.i", "y.i") + after >= similarity / (1 + similarity) * (small + large) - 1e-6
-    return members, (small >= similarity * large - 1e-6) & enough
+
+    def often(shared: Column, na: Column, nb: Column) -> Column:
+        behind = F.greatest(*(F.ceil(similarity * n - 1e-9) - 1 for n in (na, nb)))
+        return shared + behind >= similarity / (1 + similarity) * (na + nb) - 1e-6
+
+    return members, (small >= similarity * large - 1e-6) & enough, often
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -313,16 +334,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     shared = F.least(F.col("na") - _unshared(F.col("bitsa"), F.col("bitsb")), F.col("nb") - _unshared(F.col("bitsb"), F.col("bitsa")))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
-    pairs = checkpointed(both.where(shared / (F.col("na") + F.col("nb") - shared) >= similarity - 1e-9).select("a", "b"))
+    pairs = settled(both.where(shared / (F.col("na") + F.col("nb") - shared) >= similarity - 1e-9).select("a", "b"))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = checkpointed(classes.join(ids, "id").select("id", F.col("lead.doc_id").alias("d"), F.col("lead.copy").alias("c")))
+    wanted = settled(classes.join(ids, "id").select("id", F.col("lead.doc_id").alias("d"), F.col("lead.copy").alias("c")))
     found = wanted.count()
     if not found:
         return pairs
     if found <= FEW:
         wanted = F.broadcast(wanted)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))
-    texts = checkpointed(_rows(docs).join(wanted, same).groupBy("id").agg(F.min("text").alias("text")))
+    texts = settled(_rows(docs).join(wanted, same).groupBy("id").agg(F.min("text").alias("text")), 5_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -336,11 +357,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     def compared(some: DataFrame) -> DataFrame:
         whole = some.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a")
         whole = whole.join(texts.select(F.col("id").alias("b"), F.col("text").alias("two")), "b")
-        return checkpointed(whole.mapInPandas(run, "a long, b long"))
+        return settled(whole.mapInPandas(run, "a long, b long"))
 
-    least = checkpointed(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    least = settled(pairs.groupBy("a").agg(F.min("b").alias("b")))
     found = compared(least)
-    roots = checkpointed(components(found))
+    roots = settled(components(found))
     rest = pairs.join(least, ["a", "b"], "left_anti")
     for k in ("a", "b"):
         rest = _rooted(rest, roots, k).withColumnRenamed("root", f"root{k}")
@@ -355,8 +376,8 @@ def link_sets(rows: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     check = lambda pairs: _verified(pairs, classes, docs, size, similarity)
     members, near, finer = by_parts(classes)
     first = link(members, near, check=check, finer=finer)
-    members, near = by_prefix(rows, similarity)
-    return link(members, near, first, check)
+    members, near, often = by_prefix(rows, similarity)
+    return link(members, near, first, check, often=often)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
