@@ -463,8 +463,32 @@ def fill(sizes: dict) -> dict:
     return target
 
 
+MODEL = [1.0, -3.0, -2.0, 0.0, -0.5, 0.2]
+
+
+def test_quality_weights(spark, docs):
+    sample = labelled()
+    some = spark.createDataFrame([(int(i), t) for i, t, _ in sample.itertuples(index=False)], "doc_id long, text string")
+    labels = spark.createDataFrame([(int(i), int(y)) for i, _, y in sample.itertuples(index=False)], "doc_id long, quality int")
+    model = mixing.fit(some, labels)
+    weight = mixing.quality_weight(mixing.F.col("text"), mixing.word_count(mixing.F.col("text")), model)
+    got = {r.doc_id: r.w for r in some.select("doc_id", weight.alias("w")).collect()}
+    good, bad = [[got[i] for i, _, y in sample.itertuples(index=False) if y == k] for k in (1, 0)]
+    assert min(good) > 0.8 and max(bad) < 0.3
+    assert mixing.fit(some.limit(0), labels) == [0.0] * 6
+    assert all(mixing.LEAST <= r.w <= 1 for r in docs.select(weight.alias("w")).collect())
+
+
+def test_better_documents_are_taken_more(spark):
+    """Of a source that is taken in part, documents with more weight have the least keys more often."""
+    rows = [(i, "a b c d !!!! ####" if i % 2 else "a b c d e f", "s0" if i < 2000 else "t") for i in range(2100)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), [3.0, -5.0, -5.0, 0.0, 0.0, 0.0]).where("source = 's0'").collect()
+    taken = Counter((r.doc_id % 2, r.epochs) for r in out)
+    assert {r.epochs for r in out} == {0, 1} and taken[0, 1] > taken[1, 1] + 100
+
+
 def test_mix(docs, none, rows):
-    out = mixing.mixed(docs).collect()
+    out = mixing.mixed(docs, MODEL).collect()
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes, largest = Counter(), Counter()
     for r in rows:
@@ -478,11 +502,11 @@ def test_mix(docs, none, rows):
         taken[r.source] += r.taken
     for s in sizes:
         assert abs(taken[s] - target[s]) <= largest[s]
-    assert sorted(map(str, out)) == sorted(map(str, mixing.mixed(docs.repartition(5)).collect()))
-    kept = mixing.repeated_to_targets(docs)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mixed(docs.repartition(5), MODEL).collect()))
+    kept = mixing.repeated_to_targets(docs, MODEL)
     assert kept.columns == docs.columns and keeps_extra(kept)
     assert sum(words(r.text) for r in kept.collect()) == sum(taken.values())
-    assert mixing.mixed(none).count() == mixing.repeated_to_targets(none).count() == 0
+    assert mixing.mixed(none, MODEL).count() == mixing.repeated_to_targets(none, MODEL).count() == 0
 
 
 def test_targets_by_water_filling(spark):
