@@ -1,7 +1,7 @@
 """Property paths: (keys..., focus) to (keys..., focus, value), set at a time.
 
-Each step joins the current values with a predicate's pairs and makes them distinct; closures are semi-naive loops,
-one job a level, over the distinct start nodes, so foci that share a node share its closure.
+Each step joins the current values with a predicate's pairs and makes them distinct; closures are loops over the distinct
+start nodes, so foci that share a node share its closure.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.ir import Alternative, Closure, Inverse, Negated, Path, Predicate, Sequence
-from ..terms import same
+from ..terms import same, text_of
 from .fixpoint import cut
 
 
@@ -66,21 +66,66 @@ def _onto(now: DataFrame, edges: DataFrame) -> DataFrame:
     return now.join(e, same(F.col("value"), F.col("_s"))).select(*keys, F.col("_o").alias("value"))
 
 
+def _key(t: Column) -> Column:
+    """A text that tells terms apart: that of ``node_key``, and a literal as N-Triples writes it."""
+    return F.coalesce(node_key(t), text_of(t))
+
+
 def closure(starts: DataFrame, path: Path, graph: Graph, with_start_on_cycle: bool) -> DataFrame:
-    """(start, value): nodes one or more steps away from each distinct ``start``.
+    """(start, value): nodes one or more steps away from each distinct ``start``. With ``with_start_on_cycle`` off, the start
+    itself never counts as reached.
 
-    Semi-naive: only pairs found in the last round go on, and a pair found before is dropped by an anti-join. With
-    ``with_start_on_cycle`` off, the start itself never counts as reached.
+    The loop works on texts of nodes; terms are joined again at its end. From many starts the steps are doubled: what
+    is reached in 2^k steps, joined with the pairs exactly 2^k steps apart, so rounds grow with the logarithm of the
+    longest way. From few starts it is semi-naive: only pairs found in the last round go on.
     """
-    edges = cut(pairs(path, graph).select(node_key(F.col("s")).alias("s"), "o")) if pairs(path, graph) is not None else None
+    found = pairs(path, graph)
+    if found is None:
+        return _closure_of_closure(starts, path, graph, with_start_on_cycle)
+    edges = cut(found.select(node_key(F.col("s")).alias("s"), _key(F.col("o")).alias("o"), F.col("o").alias("term")))
+    starts = cut(starts.select("start", node_key(F.col("start")).alias("a")))
+    steps = edges.select("s", "o").distinct()
+    begun = starts.select("a").join(steps, F.col("a") == F.col("s")).select("a", F.col("o").alias("b"))
+    reached = _doubled(begun, steps) if STARTS * starts.count() >= edges.count() else _semi_naive(begun, steps)
+    values = edges.select("o", "term").groupBy("o").agg(F.first("term").alias("value"))
+    out = reached.join(starts, "a").join(values, F.col("b") == F.col("o")).select("start", "value")
+    return out if with_start_on_cycle else out.where(~same(F.col("start"), F.col("value")))
+
+
+#: Steps are doubled if starts are more than one in so many of the edges.
+STARTS = 4
+
+
+def _doubled(begun: DataFrame, steps: DataFrame) -> DataFrame:
+    now, exact = cut(begun), cut(steps)
+    n = now.count()
+    while True:
+        further = now.join(exact, F.col("b") == F.col("s")).select("a", F.col("o").alias("b"))
+        now = cut(now.unionByName(further).distinct())
+        before, n = n, now.count()
+        if n == before:
+            return now
+        x, y = exact.alias("x"), exact.alias("y")
+        exact = cut(x.join(y, F.col("x.o") == F.col("y.s")).select("x.s", "y.o").distinct())
+
+
+def _semi_naive(begun: DataFrame, steps: DataFrame) -> DataFrame:
+    frontier, steps = cut(begun), cut(steps)
+    seen = frontier.withColumn("fresh", F.lit(0))
+    while not frontier.isEmpty():
+        moved = frontier.join(steps, F.col("b") == F.col("s")).select("a", F.col("o").alias("b"), F.lit(1).alias("fresh"))
+        # one exchange tells what is new and makes it distinct
+        frontier = cut(seen.unionByName(moved).groupBy("a", "b").agg(F.min("fresh").alias("fresh")).where("fresh = 1").select("a", "b"))
+        seen = seen.unionByName(frontier.withColumn("fresh", F.lit(0)))
+    return seen.select("a", "b")
+
+
+def _closure_of_closure(starts: DataFrame, path: Path, graph: Graph, with_start_on_cycle: bool) -> DataFrame:
+    """As ``closure``, of a path that has pairs for every node and so no table of edges."""
     frontier = starts.select("start", F.col("start").alias("value"))
     seen = None
     while True:
-        if edges is None:
-            moved = follow(frontier.withColumnRenamed("start", "focus"), path, graph).withColumnRenamed("focus", "start")
-        else:
-            f = frontier.withColumn("_k", node_key(F.col("value")))
-            moved = f.join(edges, F.col("_k") == F.col("s")).select("start", F.col("o").alias("value")).distinct()
+        moved = follow(frontier.withColumnRenamed("start", "focus"), path, graph).withColumnRenamed("focus", "start")
         if not with_start_on_cycle:
             moved = moved.where(~same(F.col("start"), F.col("value")))
         if seen is not None:

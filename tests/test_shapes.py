@@ -1,9 +1,11 @@
 """Constraints, targets and paths on small graphs, with complete expected results."""
 
 import json
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import COMPAT, Dataset, Mode, TripleGraph, register_component, validate, validate_triples
 from plumbline.operators import paths, targets
@@ -11,7 +13,7 @@ from plumbline.plans.ir import Alternative, Closure, Inverse, Predicate, Sequenc
 from plumbline.plans.shapes import ShapeError, ShapesGraph, parse_shapes
 from plumbline.sources.readers import read_triples
 from plumbline.sparql.parser import QueryError
-from plumbline.terms import bnode, iri, literal
+from plumbline.terms import bnode, iri, literal, text_of
 
 HEAD = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix ex: <http://e/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
@@ -297,3 +299,28 @@ def test_sparql_queries(spark):
     assert ask(spark, "SELECT ?v WHERE { ex:a ex:age ?n BIND((?n + 2) * 2 / 4 - 1 AS ?v) }") == [("15",)]
     assert ask(spark, "ASK { ?x ex:mail ?m FILTER(REGEX(?m, '^ANN', 'i') && STRAFTER(?m, '@') = 'x.org') }") == [(True,)]
     assert ask(spark, "ASK { ex:a ex:mail ?m FILTER(?m / 2 > 1) }") == [(False,)]
+
+
+@pytest.mark.parametrize("starts", [0, 1000])
+def test_closures_by_walking(spark, starts, monkeypatch):
+    """Both ways to close a path, on a graph with circles, long ways and literals at their ends."""
+    monkeypatch.setattr(paths, "STARTS", starts)
+    rng = random.Random(4)
+    edges = {(i, i + 1) for i in range(20)} | {(rng.randrange(30), rng.randrange(30)) for _ in range(15)}
+    some = [(iri(f"{E}n{a}"), E + "p", iri(f"{E}n{b}")) for a, b in edges] + [(iri(f"{E}n{a}"), E + "p", literal(f"x{a}")) for a in (3, 25)]
+    g = TripleGraph.of(spark, some)
+    after = lambda a: {str(o) for s, _, o in some if str(s) == a}
+
+    def reached(a):
+        seen, todo = set(), [a]
+        while todo:
+            new = after(todo.pop()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    foci = targets.resolve_target(Target("subjects", iri(E + "p")), g)
+    for least in (0, 1):
+        out = paths.resolve(foci, Closure(Predicate(E + "p"), least), g).select(text_of(F.col("focus")).alias("f"), text_of(F.col("value")).alias("v")).collect()
+        want = {(a, b) for a in {str(s) for s, _, _ in some} for b in reached(a) | ({a} if least == 0 else set())}
+        assert Counter((r.f, r.v) for r in out) == Counter(want)
