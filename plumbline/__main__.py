@@ -36,6 +36,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     v.add_argument("-s", "--shapes-format", default=None)
     v.add_argument("-o", "--output", default=None, help="a file for the report")
     v.add_argument("--output-format", default="text", help="text, json, or an RDF format")
+    v.add_argument("--parts", action="store_true", help="the executors write the report to the folder --output, as json lines or nt")
     i = sub.add_parser("info", help="count a file's shapes, targets and constraints")
     i.add_argument("shapes")
     i.add_argument("--format", default=None)
@@ -80,6 +81,11 @@ def validate(a: argparse.Namespace, mode, out) -> int:
     triples = read_triples_file(a.shapes, a.shapes_format)
     report = validate_triples(read_files(session(), a.data, a.data_format), triples, mode)
     report.results = report.results.cache()
+    if a.parts:
+        if not a.output or a.output_format not in ("json", "nt"):
+            raise ValueError("--parts takes --output and the format json or nt")
+        report.write(a.output, a.output_format)
+        return 0 if report.conforms else 1
     text, good = report.render(a.output_format), report.conforms
     report.results.unpersist()
     if a.output:

@@ -198,6 +198,12 @@ add(
     "unnest([1, c, c, c, c, c, c, c, 2 * c]) AS k FROM (SELECT count(*) AS c FROM region WHERE length(r_name) > 4)) UNION ALL "
     "SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', count(*) + 1 FROM region WHERE length(r_name) > 4",
 )
+add(
+    "report_lines",
+    lambda spark, d: region_report(spark, d).lines().select(F.regexp_extract("value", "#([A-Za-z]+)> ", 1).alias("predicate")).groupBy("predicate").agg(F.count("*").alias("n")),
+    "SELECT p AS predicate, k AS n FROM (SELECT unnest(['conforms', 'result', 'focusNode', 'resultPath', 'value', 'resultSeverity', 'sourceConstraintComponent', 'sourceShape', 'resultMessage', 'type']) AS p, "
+    "unnest([1, c, c, c, c, c, c, c, 2 * c, c + 1]) AS k FROM (SELECT count(*) AS c FROM region WHERE length(r_name) > 4))",
+)
 # formats -------------------------------------------------------------------------------------------------------------
 TEXTS = {
     "ttl": '@prefix ex: <http://example.org/> . ex:a ex:p 1, "x"@EN ; ex:q ex:b .',

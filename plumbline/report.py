@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .graph import Triple
 from .plans.ir import Alternative, Inverse, Path, Predicate, Sequence
 from .sources.readers import read_triples, to_text
-from .terms import RDF, SH, XSD, Term, bnode, iri, literal, text_of
+from .terms import RDF, SH, XSD, Term, bnode, iri, literal, literal_column, text_of
 
 LEVELS = ("Violation", "Warning", "Info")
 
@@ -114,6 +114,31 @@ class Report:
             add(r, None, ())
         return out
 
+    def lines(self) -> DataFrame:
+        """(value): the report as N-Triples lines that the executors make, without details. Only the distinct paths, which are
+        as many as shapes and predicates name, and whether there is a result reach the driver."""
+        spark = self.results.sparkSession
+        node = F.concat(F.lit("_:r"), F.monotonically_increasing_id().cast("string"))
+        line = lambda p, o, s=F.col("node"): F.concat(s, F.lit(f" <{p}> "), o, F.lit(" ."))
+        at, extra = F.lit(None).cast("string"), []
+        for i, row in enumerate(sorted(r.path for r in self.results.select("path").where("path is not null").distinct().collect())):
+            at = F.when(F.col("path") == row, F.lit(str(path_node(parse_path(row), f"path{i}", extra)))).otherwise(at)
+        iri_of = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
+        each = [
+            line(SH + "result", F.col("node"), F.lit("_:report")), line(RDF + "type", F.lit(f"<{SH}ValidationResult>")), line(SH + "focusNode", F.col("focus")),
+            line(SH + "resultPath", F.col("at")), line(SH + "value", F.col("value")), line(SH + "resultSeverity", iri_of("severity")),
+            line(SH + "sourceConstraintComponent", iri_of("component")), line(SH + "sourceShape", F.col("source_shape")),
+            line(SH + "sourceConstraint", F.col("source_constraint")),
+        ]
+        said = F.transform("messages", lambda m: line(SH + "resultMessage", text_of(literal_column(m))))
+        made = self.results.withColumn("node", node).withColumn("at", at).select(F.explode(F.filter(F.concat(F.array(*each), said), lambda x: x.isNotNull())).alias("value"))
+        head = [(bnode("report"), RDF + "type", iri(SH + "ValidationReport")), (bnode("report"), SH + "conforms", literal(str(self.conforms).lower(), XSD + "boolean")), *extra]
+        return spark.createDataFrame([(f"{s} <{p}> {o} .",) for s, p, o in head], "value string").unionByName(made)
+
+    def write(self, path: str, fmt: str = "json") -> None:
+        """Write the results to a folder from the executors: ``json``, an object a line, or ``nt``."""
+        (self.json_rows() if fmt == "json" else self.lines()).write.text(path)
+
     def rows(self) -> list[dict]:
         """All results on the driver, in a stable order; for reports that a person reads."""
         order = ("source_shape", "focus", "path", "component", "value")

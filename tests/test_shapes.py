@@ -115,6 +115,21 @@ def test_details_explain_results(spark):
     assert sum(p.endswith("#result") for _, p, _ in triples) == len(report.rows())
 
 
+def test_reports_by_executors(spark, tmp_path):
+    path = "[ sh:alternativePath ( ex:knows [ sh:inversePath ex:knows ] ) ]"
+    shapes = f'ex:S a sh:NodeShape ; sh:targetClass ex:Person ; sh:message "a \\"b\\"" ; sh:property [ sh:path {path} ; sh:minCount 99 ; sh:nodeKind sh:Literal ] ; sh:nodeKind sh:Literal .'
+    report = validate_triples(graph(spark), read_triples(HEAD + shapes))
+    report.write(str(tmp_path / "nt"), "nt")
+    report.write(str(tmp_path / "json"), "json")
+    read = lambda f: "".join(p.read_text() for p in sorted((tmp_path / f).glob("part-*")))
+    triples, whole = read_triples(read("nt"), "nt"), report.to_triples()
+    assert not Counter(p for _, p, _ in triples) - Counter(p for _, p, _ in whole)
+    plain = lambda some: Counter((p, str(o)) for _, p, o in some if o.kind != "bnode" and not p.endswith(("first", "rest", "Path")))
+    assert plain(triples) == plain(whole)
+    assert {ShapesGraph(triples).path(o) for _, p, o in triples if p.endswith("#resultPath")} == {ShapesGraph(whole).path(o) for _, p, o in whole if p.endswith("#resultPath")}
+    assert len(read("json").splitlines()) == len(report.rows())
+
+
 def test_result_paths_and_sources_as_rdf(spark):
     path = "( ex:knows [ sh:inversePath ex:knows ] [ sh:alternativePath ( ex:name [ sh:zeroOrMorePath ex:knows ] ) ] [ sh:oneOrMorePath ex:a ] [ sh:zeroOrOnePath ex:b ] )"
     shapes = f"ex:S a sh:NodeShape ; sh:targetClass ex:Person ; sh:property [ sh:path {path} ; sh:minCount 99 ] ; sh:sparql ex:Q . ex:Q sh:select \"SELECT $this WHERE {{ $this a ?c }}\" ."
