@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import validate_triples
-from .graph import Iri, Literal, MappedGraph, Mapping
-from .operators import paths, targets
+from .graph import Dataset, Iri, Literal, MappedGraph, Mapping
+from .operators import targets
+from .plans.compile import Compiler
 from .plans.ir import Alternative, Closure, Inverse, Path, Predicate, Sequence, Target
 from .sources.readers import read_triples
 from .terms import RDFS, XSD, Term, iri, text_of
@@ -328,7 +329,7 @@ def along(tables: str, cls: str, path: Path) -> Callable[[SparkSession, str], Da
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = mapped(spark, sf_dir, *tables.split())
         foci = targets.resolve_target(Target("class", iri(ex(cls))), g)
-        out = paths.resolve(foci, path, g)
+        out = Compiler(Dataset(g)).values(path, foci, g.home([ex(cls)]))
         return out.select(text_of(F.col("focus")).alias("focus"), text_of(F.col("value")).alias("value"))
 
     return query
@@ -451,7 +452,6 @@ def asked(tables: str, text: str, *names: str) -> Callable[[SparkSession, str],
     """A query whose solutions are returned as texts of literals or IRIs."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .graph import Dataset
         from .sparql.evaluate import run_query
 
         out = run_query(Dataset(mapped(spark, sf_dir, *tables.split())), text, {"ex": EX, "xsd": XSD})
