@@ -36,8 +36,9 @@ PARTS = 5
 PIVOTS = 16
 #: Groups of more members are split by BITS + 1 parts of the bits that they don't share by definition.
 SPLIT = 64
-#: Shingles in COMMON or more of about SAMPLE documents count as common; at most KNOWN of them are remembered.
-SAMPLE, COMMON, KNOWN = 4_000, 8, 50_000
+#: Shingles in COMMON or more of about SAMPLE documents, or of one in EACH if these are more, count as common; at most KNOWN of
+#: them are remembered. That decides costs only.
+SAMPLE, EACH, COMMON, KNOWN = 4_000, 50, 8, 50_000
 #: A set's map has MAP longs or more, so that it has four bits or more a shingle. The ids of up to FEW classes are
 #: broadcast to find their texts.
 MAP, FEW = 16, 200_000
@@ -178,22 +179,27 @@ def link(
     check: Callable[[DataFrame], DataFrame] | None = None,
     finer: Column | None = None,
     often: Callable[[Column, Column, Column], Column] | None = None,
+    early: Column | None = None,
 ) -> DataFrame:
     """(v, root): components of links between ``members`` (g, id, ...) of equal ``g``, and of ``roots`` (v, root).
 
     ``near`` holds of two members ``x`` and ``y`` that may link, and ``check`` keeps those of the pairs (a, b) that do.
     ``finer`` gives keys of which members that link share one, for groups of more than SPLIT members. ``often`` tells, by
-    the number of groups that two members share and their ``n``, whether they may link. Repeated (g, id) are one member.
-    Members without links and roots are left out.
+    the number of groups that two members share and their ``n``, whether they may link, and ``early`` holds in one group
+    at least that members which link share: in groups of more than SPLIT members only such pairs are made, and the others
+    are counted as shared by both sides. Repeated (g, id) are one member. Members without links and roots are left out.
     """
     check = check or (lambda pairs: pairs)
 
-    def pair(met: DataFrame, x: str, y: str) -> DataFrame:
+    def pair(met: DataFrame, x: str, y: str, large: bool = False) -> DataFrame:
         ids = (F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"))
         if often is None:
             return met.select(*ids)
-        counted = met.groupBy(*ids, F.col(f"{x}.n").alias("na"), F.col(f"{y}.n").alias("nb")).agg(F.count("*").alias("shared"))
-        return counted.where(often(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+        more = F.max(F.least(f"{x}.large", f"{y}.large")) if large else F.lit(0)
+        first = F.max(early.cast("int")) if large else F.lit(1)
+        made = met.groupBy(*ids, F.col(f"{x}.n").alias("na"), F.col(f"{y}.n").alias("nb"))
+        counted = made.agg(F.count("*").alias("shared"), more.alias("more"), first.alias("first")).where("first = 1")
+        return counted.where(often(F.col("shared") + F.col("more"), F.col("na"), F.col("nb"))).select("a", "b")
 
     slim = [c for c in members.columns if c not in ("g", "id")]
     again = members.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1").select("g")
@@ -205,14 +211,21 @@ def link(
     # 2. pairs of a group from different components; most groups are within one and drop out
     rooted = settled(_rooted(met, first))
     mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    if finer is None:
+    if early is not None:
+        # how many large groups each member is in
+        size = F.when(F.col("size") > SPLIT, 1).otherwise(0)
+        left = settled(rooted.join(mixed.select("g", size.alias("big")), "g"))
+        large = left.where("big = 1").groupBy("id").agg(F.count("*").alias("large"))
+        left = left.join(large, "id", "left").withColumn("large", F.coalesce("large", F.lit(0)))
+        near = near & ((F.col("x.big") == 0) | early)
+    elif finer is None:
         left = rooted.join(mixed.select("g"), "g", "left_semi")
     else:
         left = rooted.join(mixed.select("g", "size"), "g")
         key = F.when(F.col("size") > SPLIT, finer).otherwise(F.array("g"))
         left = left.withColumn("g", F.explode(key)).drop("size")
     cross = left.alias("x").join(left.alias("y"), "g").where((F.col("x.root") < F.col("y.root")) & near)
-    return _joined(first, check(pair(cross, "y", "x")))
+    return _joined(first, check(pair(cross, "y", "x", early is not None)))
 
 
 def by_parts(classes: DataFrame) -> tuple[DataFrame, Column, Column]:
@@ -239,7 +252,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b["text"]:
                 yield pd.DataFrame({"s": np.unique(hashes(t, size)).view(np.int64)})
 
-    step = max(1, docs.count() // SAMPLE)
+    step = max(1, min(EACH, docs.count() // SAMPLE))
     some = docs.select("text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0)
     counts = some.mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     got = counts.orderBy(F.desc("n"), "s").limit(KNOWN).toPandas().sort_values("s")
@@ -305,12 +318,13 @@ def shingled(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return _rows(docs).mapInPandas(run, "doc_id long, copy long, fp long, id long, n int, bits array<long>, prefix array<long>")
 
 
-def by_prefix(rows: DataFrame, similarity: float) -> tuple[DataFrame, Column, Callable[[Column, Column, Column], Column]]:
-    """Members, ``near`` and ``often`` for ``link``: sets meet by shingles of their prefixes.
+def by_prefix(rows: DataFrame, similarity: float) -> tuple[DataFrame, Column, Callable[[Column, Column, Column], Column], Column]:
+    """Members, ``near``, ``often`` and ``early`` for ``link``: sets meet by shingles of their prefixes.
 
     Sizes and the places of a shared shingle may rule the similarity out: before and after it, the shorter side bounds
     what both share. So may the number of shingles that the prefixes share: the others that the sets share are all
-    behind the prefix of one of them. Texts that share a passage only are told apart by that, without their sets.
+    behind the prefix of one of them. Texts that share a passage only are told apart by that, without their sets. The
+    first shingle that two sets share is early in both: before it each has no more than it may have for itself.
     """
     members = rows.select("id", "n", F.posexplode("prefix").alias("i", "g")).select("g", "id", "n", "i")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
@@ -321,7 +335,9 @@ def by_prefix(rows: DataFrame, similarity: float) -> tuple[DataFrame, Column, Ca
         behind = F.greatest(*(F.ceil(similarity * n - 1e-9) - 1 for n in (na, nb)))
         return shared + behind >= similarity / (1 + similarity) * (na + nb) - 1e-6
 
-    return members, (small >= similarity * large - 1e-6) & enough, often
+    needed = F.ceil(similarity / (1 + similarity) * (small + large) - 1e-6)
+    early = (F.col("x.i") <= F.col("x.n") - needed) & (F.col("y.i") <= F.col("y.n") - needed)
+    return members, (small >= similarity * large - 1e-6) & enough, often, early
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -376,8 +392,8 @@ def link_sets(rows: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     check = lambda pairs: _verified(pairs, classes, docs, size, similarity)
     members, near, finer = by_parts(classes)
     first = link(members, near, check=check, finer=finer)
-    members, near, often = by_prefix(rows, similarity)
-    return link(members, near, first, check, often=often)
+    members, near, often, early = by_prefix(rows, similarity)
+    return link(members, near, first, check, often=often, early=early)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
