@@ -19,7 +19,7 @@ from .common import checkpointed, free, sigmoid, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: About so many rows of a source fall into a range of keys.
-RANGE = 20_000
+RANGE = 2_000
 #: Most labelled documents that the quality weights are fitted on; the least weight.
 FIT_ROWS, LEAST = 3000, 0.05
 
