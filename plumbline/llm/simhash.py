@@ -126,32 +126,57 @@ def _within(a: str, b: str) -> Column:
     )
 
 
+def _within_parts(edges: DataFrame) -> DataFrame:
+    """(v, root) for the vertices of each partition of ``edges`` (a, b): the least that the partition's own edges lead to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        found = [find(x) for x in root]
+        yield pd.DataFrame({"v": np.array(list(root), np.int64), "root": np.array(found, np.int64)})
+
+    return edges.select("a", "b").mapInPandas(run, "v long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each vertex of ``edges`` (a, b: longs): the least vertex it is linked to, by any path.
 
-    Alternates large and small stars until no edge changes; each round is checkpointed. Hub vertices meet their
-    least neighbour by a pre-aggregated minimum and a join that adaptive execution can split.
+    Each partition's edges become stars first, which is all where there is one partition. Else large and small stars
+    alternate until no vertex has two partners below it or one on each side; each round is checkpointed. Hub vertices
+    meet their least neighbour by a pre-aggregated minimum and a join that adaptive execution can split.
     """
     now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def mark(e: DataFrame) -> tuple:
-        got = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-        return tuple(got)
-
-    before = None
-    while (state := mark(now)) != before:
-        before = state
+    parts, now = now.rdd.getNumPartitions(), _within_parts(now)
+    if parts == 1:
+        return checkpointed(now)
+    # stars have no more edges than there were
+    now = checkpointed(now.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b")).distinct().coalesce(parts))
+
+    def stars(e: DataFrame) -> bool:
+        one = lambda k, below: F.struct(F.col(k).alias("v"), F.lit(below).alias("below"), F.lit(1 - below).alias("above"))
+        ends = e.select(F.explode(F.array(one("a", 1), one("b", 0))).alias("e")).select("e.*")
+        sums = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        return sums.where("below + above > 1 and below > 0").agg(F.count("*")).first()[0] == 0
+
+    while not stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        # stars have no more edges than there were
-        parts = now.rdd.getNumPartitions()
         now = checkpointed(small.select("e.a", "e.b").where("a <> b").distinct().coalesce(parts))
-    roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "v")
-    return roots.unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()).distinct()
+    roots = now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
+    return checkpointed(now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots).coalesce(parts))
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None, by: str = "id") -> DataFrame:
@@ -163,13 +188,9 @@ def _rooted(members: DataFrame, roots: DataFrame | None, by: str = "id") -> Data
 
 def _joined(first: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(v, root) of the components of ``first`` when ``edges`` (a, b) link them further."""
-    if first is None:
-        return settled(components(edges))
-    for k in ("a", "b"):
-        edges = _rooted(edges, first, k).drop(k).withColumnRenamed("root", k)
-    more = settled(components(edges))
-    old = _rooted(first.withColumnRenamed("v", "id").withColumnRenamed("root", "r"), more, "r").select(F.col("id").alias("v"), "root")
-    return settled(old.unionByName(more.join(first.select("v"), "v", "left_anti").select("v", "root")))
+    if first is not None:
+        edges = edges.unionByName(first.select(F.col("v").alias("a"), F.col("root").alias("b")))
+    return components(edges)
 
 
 def link(
@@ -377,7 +398,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
     least = settled(pairs.groupBy("a").agg(F.min("b").alias("b")))
     found = compared(least)
-    roots = settled(components(found))
+    roots = components(found)
     rest = pairs.join(least, ["a", "b"], "left_anti")
     for k in ("a", "b"):
         rest = _rooted(rest, roots, k).withColumnRenamed("root", f"root{k}")

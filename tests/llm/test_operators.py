@@ -581,6 +581,35 @@ def test_near_duplicates(docs, none, rows):
     assert simhash.near_duplicates(none).count() == simhash.keep_one_of_each(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_components_by_union_find(spark, parts, monkeypatch):
+    """Chains, stars and cycles in one partition and in many: the least vertex by any path, in few jobs."""
+    rng = random.Random(parts)
+    edges = [(i, i + 1) for i in range(60)] + [(-100 - i, -100) for i in range(40)] + [(1000, 1001), (1001, 1000), (7, 7)]
+    edges += [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(130)] + [(9, 9), (1 << 62, -(1 << 62))]
+    rng.shuffle(edges)
+    root = {v: v for e in edges if e[0] != e[1] for v in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    made, kept = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: made.append(1) or kept(df))
+    monkeypatch.setattr(simhash, "settled", lambda df: kept(df.repartition(parts)))
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = simhash.components(frame).collect()
+    assert sorted(map(tuple, got)) == sorted((v, find(v)) for v in root)
+    assert len(made) <= (1 if parts == 1 else 8)
+    more = simhash._joined(simhash.components(frame), spark.createDataFrame([(1000, 3), (5000, 6000)], "a long, b long"))
+    assert {r.v: r.root for r in more.collect()} == {v: find(v) if find(v) != 1000 else 0 for v in root} | {5000: 5000, 6000: 5000}
+    assert simhash.components(frame.limit(0)).count() == 0
+
+
 def brute_jaccard(texts):
     """The least text of each text's component of links of 0.8 or more between sets of five-word shingles."""
     texts, sets = sorted(texts), {}
