@@ -29,10 +29,21 @@ SMALL, GROUPS = 3, 64
 PART = 50_000
 CACHE = 300_000
 
-#: Fixed pattern: how the tokenizer's own rule splits texts of the characters in PLAIN.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The letters among the characters that OTHER does not find.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+#: Fixed pattern: how the tokenizer's own rule splits texts of such characters.
+SPLIT = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Characters of which letters, digits and blanks mean the same to Python and to the tokenizer.
 OTHER = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ſ]")
+#: Byte-level pre-tokenization as these tokenizers print it: words are those of SPLIT, each byte a character.
+BYTE_LEVEL = re.compile(r"ByteLevel\(add_prefix_space=False, trim_offsets=\w+, use_regex=True\)")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level models have for each byte: its own if it shows, else one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def tokenizer_path() -> str:
@@ -51,12 +62,20 @@ class Encoder(dict):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        plain = self._tokenizer.normalizer is None and BYTE_LEVEL.fullmatch(str(self._tokenizer.pre_tokenizer))
+        self._tokenize = self._tokenizer.model.tokenize if plain else None
+        self._characters = _byte_characters()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self._whole(word)
+        if self._tokenize is None:
+            ids = self._whole(word)
+        else:  # a word is one piece to the tokenizer, so its model alone does
+            tokens = self._tokenize(word.encode().decode("latin-1").translate(self._characters))
+            ids = np.array([t.id for t in tokens], "<u4").tobytes()
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

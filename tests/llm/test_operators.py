@@ -518,6 +518,21 @@ def test_targets_by_water_filling(spark):
         assert got == pytest.approx(fill(sizes))
 
 
+def test_words_go_to_the_model_alone(monkeypatch):
+    """Texts of plain characters get the tokenizer's ids without a run of the whole tokenizer for each word."""
+    encoder, rng = packing.Encoder(packing.tokenizer_path()), random.Random(12)
+    whole = lambda t: encoder._tokenizer.encode(t, add_special_tokens=False).ids
+    plain = [chr(c) for c in range(0x180) if not packing.OTHER.search(chr(c))]
+    parts = [*plain, *"     \n\n\t", *("'" * 4), "'s", "'re", "'ll", "n't", "the", " river", "__", "12", "ción", "Straße"]
+    texts = [a + b for a in plain for b in ("", "a", " ", "'", "7")] + ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000)]
+    want = [whole(t) for t in texts]
+    monkeypatch.setattr(encoder, "_whole", None)
+    special = [t for t in texts if any(s in t for s in encoder._special)]
+    assert not special
+    for t, ids in zip(texts, want, strict=True):
+        assert list(memoryview(encoder.encode(t)).cast("I")) == ids, t
+
+
 # near duplicates --------------------------------------------------------------------------------------------------
 
 
