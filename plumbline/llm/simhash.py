@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free, settled, table
+from .common import checkpointed, counted, free, settled, table
 
 BITS, SHINGLE, SEED = 3, 3, 42
 PARTS = 5
@@ -186,9 +186,11 @@ def _rooted(members: DataFrame, roots: DataFrame | None, by: str = "id") -> Data
     return members.join(roots, F.col(by) == F.col("v"), "left").withColumn("root", F.coalesce("root", by)).drop("v")
 
 
-def _joined(first: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """(v, root) of the components of ``first`` when ``edges`` (a, b) link them further."""
+def _joined(first: DataFrame | None, edges: DataFrame, verified: bool = False) -> DataFrame:
+    """(v, root) of the components of ``first`` when ``edges`` (a, b; ``verified``: read from checkpoints) link them further."""
     if first is not None:
+        if verified and not counted(edges):
+            return first
         edges = edges.unionByName(first.select(F.col("v").alias("a"), F.col("root").alias("b")))
     return components(edges)
 
@@ -204,13 +206,14 @@ def link(
 ) -> DataFrame:
     """(v, root): components of links between ``members`` (g, id, ...) of equal ``g``, and of ``roots`` (v, root).
 
-    ``near`` holds of two members ``x`` and ``y`` that may link, and ``check`` keeps those of the pairs (a, b) that do.
+    ``near`` holds of two members ``x`` and ``y`` that may link, and ``check`` gives those of the pairs (a, b) that do, from
+    checkpoints.
     ``finer`` gives keys of which members that link share one, for groups of more than SPLIT members. ``often`` tells, by
     the number of groups that two members share and their ``n``, whether they may link, and ``early`` holds in one group
     at least that members which link share: in groups of more than SPLIT members only such pairs are made, and the others
     are counted as shared by both sides. Repeated (g, id) are one member. Members without links and roots are left out.
     """
-    check = check or (lambda pairs: pairs)
+    verified, check = check is not None, check or (lambda pairs: pairs)
 
     def pair(met: DataFrame, x: str, y: str, large: bool = False) -> DataFrame:
         ids = (F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"))
@@ -228,7 +231,7 @@ def link(
     # 1. every member with its group's least one; where these share too few groups, step 2 counts all that they share
     heads = met.groupBy("g").agg(F.min(F.struct("id", *slim)).alias("head")).select("g", "head.*")
     stars = met.alias("x").join(heads.alias("y"), "g").where((F.col("x.id") != F.col("y.id")) & near)
-    first = _joined(roots, check(pair(stars, "x", "y")))
+    first = _joined(roots, check(pair(stars, "x", "y")), verified)
     # 2. pairs of a group from different components; most groups are within one and drop out
     rooted = settled(_rooted(met, first))
     mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
@@ -246,7 +249,7 @@ def link(
         key = F.when(F.col("size") > SPLIT, finer).otherwise(F.array("g"))
         left = left.withColumn("g", F.explode(key)).drop("size")
     cross = left.alias("x").join(left.alias("y"), "g").where((F.col("x.root") < F.col("y.root")) & near)
-    return _joined(first, check(pair(cross, "y", "x", early is not None)))
+    return _joined(first, check(pair(cross, "y", "x", early is not None)), verified)
 
 
 def by_parts(classes: DataFrame) -> tuple[DataFrame, Column, Column]:
@@ -372,12 +375,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     shared = F.least(F.col("na") - _unshared(F.col("bitsa"), F.col("bitsb")), F.col("nb") - _unshared(F.col("bitsb"), F.col("bitsa")))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
     pairs = settled(both.where(shared / (F.col("na") + F.col("nb") - shared) >= similarity - 1e-9).select("a", "b"))
+    if not counted(pairs):
+        return pairs
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = settled(classes.join(ids, "id").select("id", F.col("lead.doc_id").alias("d"), F.col("lead.copy").alias("c")))
-    found = wanted.count()
-    if not found:
-        return pairs
-    if found <= FEW:
+    if counted(wanted) <= FEW:
         wanted = F.broadcast(wanted)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))
     texts = settled(_rows(docs).join(wanted, same).groupBy("id").agg(F.min("text").alias("text")), 5_000)
@@ -398,6 +400,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
     least = settled(pairs.groupBy("a").agg(F.min("b").alias("b")))
     found = compared(least)
+    if counted(least) == counted(pairs):
+        return found
     roots = components(found)
     rest = pairs.join(least, ["a", "b"], "left_anti")
     for k in ("a", "b"):

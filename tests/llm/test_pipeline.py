@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from plumbline.llm import crf, packing
-from plumbline.llm.common import labelled_sample
+from plumbline.llm.common import counted, labelled_sample, settled
 from plumbline.llm.registry import QUERIES
 
 from .test_operators import brute_jaccard, fill
@@ -92,3 +92,26 @@ def test_queries(spark, tables):
     for name, query in QUERIES.items():
         rows = query(spark, tables).count()
         assert rows == (1 if name.startswith("op1_") else n), name
+
+
+def test_settled_counts_without_a_query(spark):
+    """Each query with an exchange keeps threads, and so memory, of the driver for a minute; counts of checkpoints need none."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    for rows, parts in ((0, 1), (7, 1), (7, 4)):
+        frame, before = spark.range(rows).repartition(2), store.executionsCount()
+        got = settled(frame, rows // parts + 1 if parts > 1 else 100)
+        assert counted(got) == rows and got.rdd.getNumPartitions() <= parts
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert store.executionsCount() - before == 1  # the checkpoint itself
+        assert sorted(r.id for r in got.collect()) == list(range(rows))
+
+
+def test_near_duplicates_queries(spark, tables):
+    """Steps that have nothing to do aren't run: no pairs, no links, or one partner each."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(30)), "en", "s", 0) for i in range(12)], COLUMNS)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    kept = corpus_pipeline.near_duplicates(spark, docs, tables)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsCount() - before <= 20
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(12))
