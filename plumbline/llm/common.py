@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: ASCII white space separates words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Most bytes of texts that a sample brings to the driver, half of them for each label.
+FIT_BYTES = 1 << 24
 
 
 def words(text: str | None) -> list[str]:
@@ -69,7 +71,8 @@ def labelled_sample(
 
     The rows are those with the smallest hash of their id, so the sample doesn't depend on partitions. Rows with a
     null id, text or label, or a label other than 0 and 1, and ids with both labels are left out; of an id's texts the one
-    with the least hash counts. ``rows`` bounds what reaches the driver.
+    with the least hash counts. ``rows`` and FIT_BYTES bound what reaches the driver: texts come whole, and where they are
+    too long for all of them, those that still fit come first by the same hash; a label none of whose texts fits has its shortest.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -83,10 +86,28 @@ def labelled_sample(
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     both = texts.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
     once = both.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
-    got = once.select("doc_id", "least.text", "label").toPandas()
+    once = checkpointed(once.select("doc_id", "least.text", "label"))
+    sizes = once.select("label", F.octet_length("text"), F.xxhash64(F.lit(7), "doc_id"), "doc_id").collect()
+    if sum(r[1] for r in sizes) > FIT_BYTES:
+        once = once.where(F.col("doc_id").isin(_fitting([tuple(r) for r in sizes])))
+    got = once.toPandas()
     return got.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
+def _fitting(sizes: list[tuple]) -> list:
+    """The ids of rows (label, bytes, hash, id) whose texts fit into FIT_BYTES, half of it for each label."""
+    out = []
+    for label in (0, 1):
+        own = sorted((r for r in sizes if r[0] == label), key=lambda r: (r[2], r[3]))
+        left, found = FIT_BYTES // 2, []
+        for _, size, _, id_ in own:
+            if size <= left:
+                left -= size
+                found.append(id_)
+        out += found or [min(own, key=lambda r: r[1])[3]] if own else []
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from plumbline.llm import crf, packing
-from plumbline.llm.common import counted, labelled_sample, settled
+from plumbline.llm.common import FIT_BYTES, counted, labelled_sample, settled
 from plumbline.llm.registry import QUERIES
 
 from .test_operators import brute_jaccard, fill
@@ -115,3 +115,15 @@ def test_near_duplicates_queries(spark, tables):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert store.executionsCount() - before <= 20
     assert sorted(r.doc_id for r in kept.collect()) == list(range(12))
+
+
+def test_sample_of_long_texts(spark):
+    """Rows alone don't bound a sample: texts of 1 MB, one of 9, and a label of which no text fits."""
+    length = "case when id = 5 then 9000000 when id % 2 = 1 then 1000000 + id else 10000000 + id end"
+    docs = spark.range(1, 41).selectExpr("id as doc_id", f"repeat('a', int({length})) as text")
+    labels = spark.range(1, 41).selectExpr("id as doc_id", "int(id % 2) as quality")
+    got = labelled_sample(docs, labels, "quality", crf.MOD, -1, crf.FIT_ROWS)
+    assert got["text"].str.len().where(got["label"] == 1, 0).sum() <= FIT_BYTES // 2
+    assert sorted(got["label"]) == [0] + [1] * 8 and got["doc_id"].where(got["label"] == 0).min() == 2
+    few = labelled_sample(docs.where("doc_id in (1, 3)"), labels, "quality", crf.MOD, -1, crf.FIT_ROWS)
+    assert few["doc_id"].tolist() == [1, 3] and few["text"].str.len().tolist() == [1_000_001, 1_000_003]
