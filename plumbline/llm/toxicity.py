@@ -89,19 +89,26 @@ _PARTED, _PARTS = re.compile(r"[^\W\d_]+(?:[-._*'’][^\W\d_]+)+"), re.compile(r
 _SIGNS = "!|$@"
 
 
+def _joined(m: re.Match) -> str:
+    """A word in parts and its parts joined; single letters only joined, as they would make the same word again."""
+    word = re.sub(r"[^\w]|_", "", m[0])
+    return word if len(m[0]) == 2 * len(word) - 1 else f"{m[0]} {word}"
+
+
 def folded(text: str) -> str:
     """The text as lower-case Latin words with a blank between each.
 
     Signs stand for letters only between other characters of a word; stretched letters count once, single letters in a
-    row make a word, and a word in parts is followed by its parts joined.
+    row make a word unless all are the same, and a word in parts is followed by its parts joined, or replaced where all
+    parts are single letters.
     """
     if any(c in text for c in _SIGNS):
         text = " ".join(w if w.isalnum() else w.strip("!|$@.,;:?*#%&()[]\"'") for w in text.split())
     if _PARTS.search(text):
-        text = _PARTED.sub(lambda m: f"{m[0]} {re.sub(r'[^\w]|_', '', m[0])}", text)
+        text = _PARTED.sub(_joined, text)
     line = " ".join(text.translate(_FOLD).split())
     if _SINGLES.search(line) or len(line) < 8:
-        line = _SPACED.sub(lambda m: m[0].replace(" ", ""), line)
+        line = _SPACED.sub(lambda m: m[0].replace(" ", "") if len(set(m[0])) > 2 else m[0], line)
     if any(t in line for t in _TRIPLES):
         line = _STRETCHED.sub(r"\1", line)
     return line

@@ -335,6 +335,12 @@ def test_toxicity_matches():
     assert toxicity.automaton({}) and toxicity.matched("idiot", toxicity.automaton({}, ())) == (0.0, 0, 1)
 
 
+def test_toxicity_spelled_words_count_once():
+    machine = toxicity.automaton(LEXICON)
+    for text, want in (("i.d.i.o.t", (1.0, 1, 1)), ("t-r-a-s-h i d i o t", (1.5, 2, 2)), ("a a a a idiot", (1.0, 1, 5)), ("id-iot", (1.0, 1, 3))):
+        assert toxicity.matched(text, machine) == want
+
+
 def test_toxicity_by_brute_force():
     rng, machine = random.Random(5), toxicity.automaton(LEXICON, ("trash can", "can of stupid worms"))
     vocabulary = ["idiot", "trash", "can", "of", "stupid", "worms", "morons", "a", "the", "Idiots", "st", "up"]
