@@ -414,7 +414,7 @@ add(
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shape over the events as a stream, run until all that is there is read; the results are appended to a memory table."""
+    """A shape over the events as a stream, run until all that is there is read; the executors write the results to a folder."""
     from .operators.fixpoint import shared_folder
 
     subject, cls, preds = TABLES["events"]
@@ -422,11 +422,11 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")
     mapping = Mapping(frame, subject, ex(cls), {ex(p): o for p, o in preds.items()})
     shapes = parse_shapes(read_triples(PREFIXES + shape + "sh:targetClass ex:Event ; sh:property [ sh:path ex:amount ; sh:maxExclusive 100 ] ."))
-    name = "streamed_results"
-    query = validate_stream(mapping, shapes).writeStream.format("memory").queryName(name).outputMode("append")
-    query = query.option("checkpointLocation", shared_folder(spark, name)).trigger(availableNow=True).start()
+    results, folder = validate_stream(mapping, shapes).select("focus", "component"), shared_folder(spark, "streamed_results")
+    query = results.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append")
+    query = query.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select("focus", "component")
+    return spark.read.schema(results.schema).parquet(f"{folder}/rows")
 
 
 add("stream_results", streamed, f"SELECT {n('event', 'event_id')} AS focus, '{SH}MaxExclusiveConstraintComponent' AS component FROM events WHERE NOT value < 100")

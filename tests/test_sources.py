@@ -183,3 +183,17 @@ def test_blank_nodes_of_a_written_graph_stay_one(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"f{i}.nt").write_text(f"_:x <{E}p> _:x .\n")
     assert readers.read_lines(spark, [str(tmp_path / f"f{i}.nt") for i in range(3)]).distinct().count() == 3
+
+
+def test_stream_results_are_written_by_executors(spark, tmp_path):
+    """A memory sink would keep all results on the driver; its table would have no files."""
+    from plumbline.queries_graph import streamed
+
+    values = [(1, 150.0), (2, 99.0), (3, None), (4, 100.0)]
+    rows = spark.createDataFrame(values, "event_id long, value double").selectExpr("event_id", "1L as user_id", "'x' as event_type", "value", "'{}' as props", "timestamp'2024-01-01' as ts")
+    for k in (1, 2):
+        rows.write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+        out = streamed(spark, str(tmp_path))
+        assert sorted(r.focus[-3:] for r in out.collect()) == ["/1>", "/4>"] and out.inputFiles(), k
+    rows.limit(0).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert streamed(spark, str(tmp_path)).collect() == []
