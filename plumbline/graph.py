@@ -92,6 +92,11 @@ class Graph:
         """(s, p, o) of the rows of ``home`` as read from them, if no other table has their subjects; extra triples with them."""
         return None
 
+    def star(self, preds: list[str | None]) -> DataFrame | None:
+        """(s, p0, o0, p1, o1, ...): the nodes that have all the predicates, as read from a table's rows without a join; None
+        stands for any predicate. None if no table alone has such nodes."""
+        return None
+
     def cache(self) -> Graph:
         return self
 
@@ -266,6 +271,30 @@ class MappedGraph(Graph):
         alone = MappedGraph([home], [x for x in self.extra if x[0].lex.startswith(home.subject.base)])
         return alone.triples()
 
+    def star(self, preds: list[str | None]) -> DataFrame | None:
+        named = [p for p in preds if p is not None and p != TYPE]
+        owners = [m for m in self.mappings if named and named[0] in m.predicates]
+        if len(owners) != 1 or not owners[0].unique or any(self.column_of(owners[0], p) is None for p in named):
+            return None
+        (m,) = owners
+        base, others = m.subject.base, [x.subject.base for x in self.mappings if x is not m]
+        if any(x.startswith(base) or base.startswith(x) for x in others) or any(s.lex.startswith(base) for s, _, _ in self.extra):
+            return None
+        own = {**m.predicates, TYPE: None}
+        value = lambda p: iri_column(F.lit(m.cls)) if p == TYPE else own[p].term()
+        rows = m.frame.where(F.col(m.subject.column).isNotNull())
+        for p in named:
+            rows = rows.where(F.col(own[p].column).isNotNull())
+        rows = rows.select(
+            m.subject.term().alias("s"),
+            *(x for i, p in enumerate(preds) if p is not None for x in (F.lit(p).alias(f"p{i}"), value(p).alias(f"o{i}"))),
+            *(value(p).alias(f"_{k}") for k, p in enumerate(own) if None in preds),
+        )
+        for i in (i for i, p in enumerate(preds) if p is None):
+            pairs = [F.struct(F.lit(p).alias("p"), F.col(f"_{k}").alias("o")) for k, p in enumerate(own)]
+            rows = rows.withColumn("_t", F.explode(F.array(*pairs))).withColumns({f"p{i}": F.col("_t.p"), f"o{i}": F.col("_t.o")}).where(F.col(f"o{i}.lex").isNotNull())
+        return rows.select("s", *(f"{x}{i}" for i in range(len(preds)) for x in "po"))
+
     def below(self, start: str, p: str) -> list[str]:
         """Tables hold no hierarchy unless a column is mapped to it; without one the extra triples tell."""
         if any(p in m.predicates for m in self.mappings):

@@ -12,7 +12,7 @@ import logging
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
-from itertools import count
+from itertools import count, takewhile
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..graph import SHAPES_GRAPH, Dataset, Graph, local_frame
 from ..operators import paths
-from ..plans.ir import Alternative, Closure, Inverse, Path, Sequence
+from ..plans.ir import Alternative, Closure, Inverse, Path, Predicate, Sequence
 from ..terms import Term, iri, is_term, make, same
 from .ast import Bind, Call, Filter, Group, InGraph, Lateral, Minus, Optional, Query, Service, SubSelect, Triple, Union, Values, Var, walk
 from .functions import TERM_TYPE, Expressions, aggregate, boolean, number, text
@@ -97,9 +97,15 @@ class Evaluator:
     def group(self, g: Group, rows: Rows, graph: Graph) -> Rows:
         """Solutions of ``g`` that extend ``rows``; filters apply to the whole group."""
         filters = [p for p in g.parts if isinstance(p, Filter)]
-        for p in self._ordered([p for p in g.parts if not isinstance(p, Filter)], rows):
+        parts = self._ordered([p for p in g.parts if not isinstance(p, Filter)], rows)
+        while parts:
+            p = parts.pop(0)
             if isinstance(p, Triple):
-                rows = self.triple(p, rows, graph)
+                of_one = self._of_one(p, parts)
+                if of_one and (found := self.star([p, *of_one], rows, graph)) is not None:
+                    rows, parts = found, [x for x in parts if not any(x is y for y in of_one)]
+                else:
+                    rows = self.triple(p, rows, graph)
             elif isinstance(p, Group):
                 rows = self.group(p, rows, graph)
             elif isinstance(p, Optional):
@@ -310,6 +316,26 @@ class Evaluator:
 
     # patterns ---------------------------------------------------------------------------------------------------
 
+    @staticmethod
+    def _of_one(t: Triple, parts: list) -> list[Triple]:
+        """The triples next to ``t`` with its subject, if that is a variable and all predicates are plain or variables."""
+        if not isinstance(t.s, Var) or not isinstance(t.p, Var | Predicate):
+            return []
+        run = takewhile(lambda x: isinstance(x, Triple), parts)
+        return [x for x in run if x.s == t.s and isinstance(x.p, Var | Predicate)]
+
+    def star(self, some: list[Triple], rows: Rows, graph: Graph) -> Rows | None:
+        """Solutions of triples with one subject by one pass over the rows of a table that alone has such nodes, if one does."""
+        edges = graph.star([None if isinstance(t.p, Var) else t.p.iri for t in some])
+        if edges is None:
+            return None
+        ends = {"s": some[0].s}
+        for i, t in enumerate(some):
+            if isinstance(t.p, Var):
+                ends[f"p{i}"], edges = t.p, edges.withColumn(f"p{i}", make("iri", F.col(f"p{i}")))
+            ends[f"o{i}"] = t.o
+        return self.edges(rows, edges, ends)
+
     def triple(self, t: Triple, rows: Rows, graph: Graph) -> Rows:
         if isinstance(t.p, Var):
             edges = graph.triples().select("s", make("iri", F.col("p")).alias("p"), "o")

@@ -5,10 +5,11 @@ from collections import Counter
 import pytest
 
 from plumbline.api import validate_triples
-from plumbline.graph import Dataset, TripleGraph
+from plumbline.graph import Dataset, Iri, Literal, MappedGraph, Mapping, TripleGraph
 from plumbline.sources.readers import read_triples
 from plumbline.sparql.evaluate import run_query
 from plumbline.sparql.parser import QueryError
+from plumbline.terms import iri, literal
 
 E = "http://e/"
 PREFIXES = {"": E, "xsd": "http://www.w3.org/2001/XMLSchema#"}
@@ -121,3 +122,29 @@ def test_constraints_ask_for_each_focus(spark, query, want):
 def test_constraints_refuse(spark, part):
     with pytest.raises(QueryError):
         validate_triples(graph(spark, MANY), read_triples(SHAPE % f"SELECT $this WHERE {{ $this :in ?i {part} }}"))
+
+
+STARS = [
+    ('SELECT ?p (COUNT(?o) AS ?n) WHERE { ?o :status "P" ; ?p ?v } GROUP BY ?p', True),
+    ("SELECT * WHERE { ?o :total ?t ; ?p ?t ; a ?c ; ?q ?x }", True),
+    ("SELECT * WHERE { ?o :by ?c ; :status ?s . ?c :name ?x ; ?p ?v }", False),
+    ("SELECT ?o WHERE { ?o :status ?s ; :name ?x }", False),
+    ('SELECT * WHERE { ?o :status "P" ; a ?k OPTIONAL { ?o :by ?c ; :total ?t FILTER(?t > 1) } }', False),
+]
+
+
+@pytest.mark.parametrize(("query", "joinless"), STARS)
+def test_triples_of_one_row_need_no_join(spark, query, joinless):
+    orders = spark.createDataFrame([(1, 7, "P", 2.0), (2, 7, None, 3.0), (3, 8, "P", None), (4, None, "F", 1.0), (None, 7, "P", 5.0)], "k int, c int, s string, t double")
+    people = spark.createDataFrame([(7, "x"), (8, None), (9, "P")], "k int, n string")
+    made = {E + "by": Iri(E + "c/", "c"), E + "status": Literal("s"), E + "total": Literal("t", PREFIXES["xsd"] + "double")}
+    tables = [Mapping(orders, Iri(E + "o/", "k"), E + "Order", made), Mapping(people, Iri(E + "c/", "k"), E + "Person", {E + "name": Literal("n")})]
+    for extra in ((), [(iri(E + "o/3"), E + "total", literal("9", PREFIXES["xsd"] + "double"))]):
+        mapped = MappedGraph(tables, extra)
+        stored = TripleGraph(mapped.triples().where("s.lex is not null and o.lex is not null"))
+        found = run_query(Dataset(mapped), query, PREFIXES)
+        counts = lambda x: Counter(tuple(None if r[n] is None else r[n]["lex"] for n in sorted(x.columns)) for r in x.collect())
+        assert counts(found) == counts(run_query(Dataset(stored), query, PREFIXES))
+        joins = found._jdf.queryExecution().optimizedPlan().toString().count("Join")
+        if joinless and not extra:
+            assert joins == 1  # with the row that a query starts from
