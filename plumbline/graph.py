@@ -159,13 +159,17 @@ NUMERIC = tuple(XSD + x for x in ("integer", "decimal", "double", "float", "int"
 
 @dataclass(frozen=True)
 class Mapping:
-    """A table as triples: subject, class, and a predicate for each mapped column; ``unique``: subjects repeat nowhere."""
+    """A table as triples: subject, class, and a predicate for each mapped column; ``unique``: subjects repeat nowhere.
+
+    ``whole`` is the graph's own table, where this one has some of its rows only.
+    """
 
     frame: DataFrame
     subject: Iri
     cls: str
     predicates: dict[str, Iri | Literal] = field(default_factory=dict)
     unique: bool = True
+    whole: Mapping | None = None
 
 
 def renamed(m: Mapping, prefix: str) -> Mapping:
@@ -231,7 +235,7 @@ class MappedGraph(Graph):
         return hit[0] if len(hit) == 1 and hit[0].unique and not typed else None
 
     def column_of(self, home: Mapping, p: str) -> Column | None:
-        others = any(m is not home and m.subject.base == home.subject.base and p in m.predicates for m in self.mappings)
+        others = any(m is not (home.whole or home) and m.subject.base == home.subject.base and p in m.predicates for m in self.mappings)
         if others or p not in home.predicates or any(q == p for _, q, _ in self.extra):
             return None
         return home.predicates[p].term()

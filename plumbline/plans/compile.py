@@ -8,6 +8,7 @@ fused into a single pass over the values, those that count values of a focus int
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from itertools import count
 from operator import and_, or_
@@ -48,8 +49,9 @@ class Compiler:
         self.targets = Targets(self.graph, mode.literal_objects)
         self._number, self._depth = count(), 0
         self._below: dict[tuple[str, str], list[str]] = {}
-        #: (shape, component, result rows of an inner shape, whose roots are the values that were asked about)
-        self.details: list[tuple[str, str, DataFrame]] | None = None
+        #: (shape, component, result rows of an inner shape, whose roots are the values that were asked about, and a key if they
+        #: are just those that explain a result or detail: that of distinct rows if no other has it, or an empty text)
+        self.details: list[tuple[str, str, DataFrame, str | None]] | None = None
 
     # shapes ---------------------------------------------------------------------------------------------------
 
@@ -78,7 +80,7 @@ class Compiler:
                 nodes = cut(nodes)
             found = self.results(shape, nodes.select(F.col("value").alias("focus")))
             if self.details is not None and outer is not None:
-                self.details.append((str(outer[0].node), outer[1].component, found))
+                self.details.append((str(outer[0].node), outer[1].component, found, None))
             return found.select(F.col("root").alias("value")).distinct()
         finally:
             self._depth -= 1
@@ -179,7 +181,7 @@ class Compiler:
     def _logic(self, c: Constraint, table: Mapping, node: Column | None = None) -> Column | None:
         """Whether a node that is a row of a table meets a logical constraint; None if the row alone doesn't tell."""
         inner = c.params[c.name.lower()]
-        if self.details is not None or not (self.mode.siblings_disjoint_only or c.name != "Node"):
+        if not (self.mode.siblings_disjoint_only or c.name != "Node"):
             return None
         tests = [self.row_test(s, table, node) for s in (inner if isinstance(inner, (list, tuple)) else [inner])]
         return None if any(t is None for t in tests) else LOGIC[c.name](tests)
@@ -190,8 +192,12 @@ class Compiler:
             return None
         if shape.path is None:
             holds = self._logic(c, home)
-            return None if holds is None else home.frame.where(~holds).select(home.subject.term().alias("focus")).withColumn("value", F.col("focus"))
-        to = self.graph.pointed(home, shape.path.iri) if isinstance(shape.path, Predicate) else None
+            if holds is None:
+                return None
+            broken = replace(home, frame=home.frame.where(~holds), whole=home.whole or home)
+            self._explain(shape, c, broken)
+            return broken.frame.select(home.subject.term().alias("focus")).withColumn("value", F.col("focus"))
+        to = self.graph.pointed(home, shape.path.iri) if isinstance(shape.path, Predicate) and self.details is None else None
         if to is None:
             return None
         to, value = renamed(to, f"_t{next(self._number)}_"), self.graph.column_of(home, shape.path.iri)
@@ -202,6 +208,17 @@ class Compiler:
         rows = rows.join(to.frame, F.col(home.predicates[shape.path.iri].column) == F.col(to.subject.column), "left")
         return rows.where(~holds).select(home.subject.term().alias("focus"), value.alias("value"))
 
+    def _explain(self, shape: Shape, c: Constraint, broken: Mapping) -> None:
+        """Keep the details of a logical constraint for the rows of a table that violate it; sh:not has none."""
+        inner = c.params[c.name.lower()]
+        if self.details is None or c.name == "Not":
+            return
+        for s in {s.node: s for s in (inner if isinstance(inner, (list, tuple)) else [inner])}.values():
+            if s.deactivated and self.mode.deactivated_everywhere:
+                continue
+            rows = self.results(s, broken.frame.select(broken.subject.term().alias("focus")), home=broken)
+            self.details.append((str(shape.node), c.component, rows, f"{shape.node} {c.component} {s.node}" if _once(s) else ""))
+
     def _by_key(self, constraints: list[Constraint], shape: Shape, siblings: tuple[Shape, ...], home: Mapping) -> tuple[DataFrame, dict] | None:
         """(focus, an aggregate for each constraint) of the rows of ``home``, whose values are rows of a table that point to them.
 
@@ -404,6 +421,13 @@ class Compiler:
         return self.values(path, foci, home).withColumnRenamed("value", "other")
 
 
+def _once(shape: Shape) -> bool:
+    """Whether no result of the shape can repeat for a root."""
+    known = all(c.name in LOCAL or c.name in COUNTED or c.name in LOGIC for c in shape.constraints)
+    parts = [(c.component, str(c)) for c in shape.constraints] + [p.node for p in shape.properties]
+    return known and len(set(parts)) == len(parts) and all(p.path is not None and not p.properties and _once(p) for p in shape.properties)
+
+
 def ids(frame: DataFrame) -> list[str]:
     """The columns that tell the question a row belongs to: the focus, and the root where it isn't the focus."""
     return [c for c in ("root", "focus") if c in frame.columns]

@@ -42,10 +42,11 @@ PARENT = ("source_shape", "component", "value")
 class Report:
     """The results of a run. Nothing is computed before it is asked for.
 
-    ``inner`` are (shape, component, result rows) of the shapes inside constraints, whose roots are the values.
+    ``inner`` are (shape, component, result rows, key) of the shapes inside constraints, whose roots are the values. With a
+    key the rows are just those that explain something; they are distinct, too, if the key is no other's and not empty.
     """
 
-    def __init__(self, results: DataFrame, inner: Iterable[tuple[str, str, DataFrame]] = ()) -> None:
+    def __init__(self, results: DataFrame, inner: Iterable[tuple[str, str, DataFrame, str | None]] = ()) -> None:
         self.results = rendered(results)
         self.inner = list(inner)
 
@@ -55,16 +56,21 @@ class Report:
         names = [f"parent_{c.removeprefix('source_')}" for c in PARENT]
         if not self.inner:
             return self.results.limit(0).select("*", *(F.lit(None).cast("string").alias(n) for n in names))
-        found = []
-        for shape, component, rows in self.inner:
+        sure, exact, loose = [], [], []
+        times = Counter(key for *_, key in self.inner)
+        for shape, component, rows, key in self.inner:
             one = rendered(rows.withColumn("name", F.struct("name", text_of(F.col("root")).alias("root"))))
             one = one.withColumn(names[2], F.col("source_shape_name.root")).withColumn("source_shape_name", F.col("source_shape_name.name"))
-            found.append(one.withColumns({names[0]: F.lit(shape), names[1]: F.lit(component)}))
-        all_ = reduce(DataFrame.unionByName, found).distinct()
-        keys = [c.alias(f"_{n}") for c, n in zip(map(F.col, PARENT), names, strict=True)]
-        known = self.results.select(*keys).unionByName(all_.select(*keys)).distinct()
-        on = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
-        return all_.join(known, on, "left_semi")
+            one = one.withColumns({names[0]: F.lit(shape), names[1]: F.lit(component)})
+            (loose if key is None else sure if key and times[key] == 1 else exact).append(one)
+        found = sure + ([reduce(DataFrame.unionByName, exact).distinct()] if exact else [])
+        if loose:
+            all_ = reduce(DataFrame.unionByName, loose).distinct()
+            keys = [c.alias(f"_{n}") for c, n in zip(map(F.col, PARENT), names, strict=True)]
+            known = reduce(DataFrame.unionByName, [x.select(*keys) for x in (self.results, all_, *found)]).distinct()
+            on = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+            found.append(all_.join(known, on, "left_semi"))
+        return reduce(DataFrame.unionByName, found)
 
     @property
     def conforms(self) -> bool:

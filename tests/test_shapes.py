@@ -7,13 +7,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import COMPAT, Dataset, Mode, TripleGraph, register_component, validate, validate_triples
+from plumbline import COMPAT, Dataset, Iri, Literal, MappedGraph, Mapping, Mode, TripleGraph, register_component, validate, validate_triples
 from plumbline.operators import paths, targets
 from plumbline.plans.ir import Alternative, Closure, Inverse, Predicate, Sequence, Target
 from plumbline.plans.shapes import ShapeError, ShapesGraph, parse_shapes
 from plumbline.sources.readers import read_triples
 from plumbline.sparql.parser import QueryError
-from plumbline.terms import bnode, iri, literal, text_of
+from plumbline.terms import XSD, bnode, iri, literal, text_of
 
 HEAD = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix ex: <http://e/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
@@ -339,3 +339,28 @@ def test_closures_by_walking(spark, starts, monkeypatch):
         out = paths.resolve(foci, Closure(Predicate(E + "p"), least), g).select(text_of(F.col("focus")).alias("f"), text_of(F.col("value")).alias("v")).collect()
         want = {(a, b) for a in {str(s) for s, _, _ in some} for b in reached(a) | ({a} if least == 0 else set())}
         assert Counter((r.f, r.v) for r in out) == Counter(want)
+
+
+@pytest.mark.parametrize(
+    ("tests", "apart"),
+    [
+        ("sh:or ( ex:Low ex:Paid )", True),
+        ("sh:and ( ex:Paid ex:Low ) ; sh:node ex:Big ; sh:property [ sh:path ex:by ; sh:minCount 1 ]", True),
+        ("sh:and ( ex:Low ex:F ) ; sh:and ( ex:Low ex:Big )", False),
+        ("sh:xone ( ex:F ex:Big ) ; sh:not ex:Low", True),
+    ],
+)
+def test_details_of_rows_need_no_shuffle(spark, tests, apart):
+    shapes = f"""ex:S a sh:NodeShape ; sh:targetClass ex:Order ; {tests} .
+    ex:Low sh:property ex:LowP . ex:LowP sh:path ex:total ; sh:maxInclusive 3 . ex:Paid sh:and ( ex:F ex:Big ) .
+    ex:F sh:property ex:FP . ex:FP sh:path ex:status ; sh:hasValue "F" . ex:Big sh:property ex:BigP . ex:BigP sh:path ex:total ; sh:minInclusive 4 ."""
+    orders = spark.createDataFrame([(1, 7, "P", 2.0), (2, None, "F", 3.5), (3, 8, None, 5.0), (4, 7, "F", 1.0), (5, 8, "F", 9.0), (6, 8, "P", None)], "k int, c int, s string, t double")
+    made = {E + "by": Iri(E + "c/", "c"), E + "status": Literal("s"), E + "total": Literal("t", XSD + "double")}
+    mapped = MappedGraph([Mapping(orders, Iri(E + "o/", "k"), E + "Order", made)])
+    found = validate_triples(mapped, read_triples(HEAD + shapes), details=True)
+    stored = validate_triples(TripleGraph(mapped.triples()), read_triples(HEAD + shapes), details=True)
+    assert found.rows() == stored.rows()
+    details = found.details()
+    assert Counter(map(str, details.collect())) == Counter(map(str, stored.details().select(*details.columns).collect())) and not details.isEmpty()
+    plan = details._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and ("Aggregate" in plan) != apart
